@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomtext.llm import token_counts, token_ids
+from loomtext.llm import token_counts, token_ids, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op4_toxicity": toxicity.query,
     "op9_token_ids": token_ids.query,
 }
 
