@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomtext.llm import simhash, token_counts, token_ids, toxicity
+from loomtext.llm import pii, simhash, token_counts, token_ids, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op4_toxicity": toxicity.query,
+    "op6_private_identifiers": pii.query,
     "op7_simhash_near_duplicates": simhash.query,
     "op9_token_ids": token_ids.query,
 }
