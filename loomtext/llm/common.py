@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time, so that a batch of very long texts stays small.
 SLICE = 128
@@ -45,5 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_schema(ddl_fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema([pa.field(n, t) for n, t in ddl_fields])
+#: Rows up to which a table of counted size is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def join_counted(df: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """df joined to a table that is already written; broadcast only where a count finds it small."""
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
