@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from loomtext.llm import pii, simhash, token_counts, token_ids, toxicity
+from loomtext.llm import mixing, packing, pii, simhash, token_counts, token_ids, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op3_mixture": mixing.query,
     "op4_toxicity": toxicity.query,
+    "op5_packing": packing.query,
     "op6_private_identifiers": pii.query,
     "op7_simhash_near_duplicates": simhash.query,
     "op9_token_ids": token_ids.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixture": mixing.SQL,
+}
