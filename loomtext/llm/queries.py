@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from loomtext.llm import mixing, packing, pii, simhash, token_counts, token_ids, toxicity
+from loomtext.llm import embedding_dedup, mixing, packing, pii, simhash, token_counts, token_ids, topk, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_embedding_near_duplicates": embedding_dedup.query,
     "op3_mixture": mixing.query,
     "op4_toxicity": toxicity.query,
     "op5_packing": packing.query,
     "op6_private_identifiers": pii.query,
     "op7_simhash_near_duplicates": simhash.query,
+    "op8_top_products": topk.query,
     "op9_token_ids": token_ids.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_near_duplicates": embedding_dedup.SQL,
     "op3_mixture": mixing.SQL,
+    "op8_top_products": topk.SQL,
 }
