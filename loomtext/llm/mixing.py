@@ -68,12 +68,15 @@ def mix(docs: DataFrame, total: int | None = None, weights: dict[str | None, int
     are never taken. A null source is a source of its own. A null doc_id draws like any other id. Rows
     that repeat a doc_id share its draw: ties are broken by id and weight, and rows that agree with the
     row at the cut in all of these are in together, only then a source can get more than n. A source
-    without a weight gets nothing. An empty table gives an empty one.
+    without a weight gets nothing. An empty table gives an empty one. Other columns are carried along,
+    whatever their names; one named __copies gives way to the result's.
 
     The cut is found from counts by STEPS of the order statistic and a ranking of the rows in one step,
     so that no task has to sort a source; what is broadcast has a row for each source, and is counted.
     """
-    prepared = _prepared(docs, seed)
+    names = [c for c in docs.columns if c.lower() != "__copies"]
+    plain = docs.select(*[docs[f"`{c}`"].alias(f"__c{i}") for i, c in enumerate(names)], docs["doc_id"], docs["source"], docs["text"])
+    prepared = _prepared(plain, seed)
     base = durable(prepared.select("__key", F.col("doc_id").cast("bigint").alias("__id"), "__x", "__u"))
     quotas = durable(_quotas(base, total, weights))
     step = F.floor(F.col("__q") / (1.0 + F.col("__q")) * STEPS).cast("int")
@@ -91,13 +94,14 @@ def mix(docs: DataFrame, total: int | None = None, weights: dict[str | None, int
     cut_order = "coalesce(__cut_id, -9223372036854775808)"
     drawn_in = F.expr(f"__has_cut AND __q IS NOT NULL AND (__q < __cut_q OR (__q = __cut_q AND ({order} < {cut_order} OR ({order} = {cut_order} AND __x <= __cut_x))))")
     copies = F.when(F.col("__x") > 0, F.coalesce("__whole", F.lit(0)) + F.coalesce(drawn_in, F.lit(False)).cast("bigint")).otherwise(F.lit(0)).cast("bigint")
-    return final.select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("__copies"))
+    return final.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)], copies.alias("__copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mixture itself: every row of docs as often as it has copies, with the columns of docs."""
     rows = mix(docs).where("__copies > 0")
-    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = rows.columns[:-1]
+    return rows.select(*[rows[f"`{c}`"] for c in names], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).alias("__copies")).drop("__copies")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

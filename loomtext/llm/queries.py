@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import embedding_dedup, mixing, packing, pii, simhash, token_counts, token_ids, topk, toxicity
+from loomtext.llm import embedding_dedup, mixing, packing, pii, simhash, token_counts, token_ids, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash_near_duplicates": simhash.query,
     "op8_top_products": topk.query,
     "op9_token_ids": token_ids.query,
+    "op10_url_filter": url_filter.query,
 }
 
 ORACLES: dict[str, str] = {

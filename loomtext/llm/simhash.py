@@ -294,7 +294,8 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     """The rows of docs without the near-duplicates: of each group the document with the least id stays.
 
     Rows that repeat a doc_id are one document, so one of them stays (the one with the least hash of
-    its text). Rows without an id, and null or empty texts with ids that don't repeat, all stay.
+    its text). Rows without an id, and null or empty texts with ids that don't repeat, all stay. Other
+    columns are carried along, whatever their names.
     """
     groups = durable(near_duplicates(docs, distance).where("NOT is_kept").select(F.col("doc_id").alias("__gone")))
     ids = docs.where("doc_id IS NOT NULL").select(docs["doc_id"].cast("bigint").alias("__again"))
@@ -302,10 +303,11 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     kept = docs.join(groups, docs["doc_id"] == groups["__gone"], "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept["doc_id"] == again["__again"], "left_anti")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    more = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
-    return once.unionByName(more)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    marked = kept.select(*[kept[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)], kept["doc_id"].cast("bigint").alias("__again"), F.xxhash64(kept["text"]).alias("__hash"))
+    once = marked.join(again, "__again", "left_anti")
+    more = marked.join(again, "__again", "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("__again").orderBy("__hash"))).where("__nth = 1")
+    return once.select(*names).union(more.select(*names)).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
