@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from zlib import crc32
 
@@ -24,7 +25,15 @@ PER_CLASS = 2500
 #: Share of held-out ordinary documents that the calibrated threshold may reject.
 FALSE_ALARMS = 0.002
 #: Windows whose compressed lengths differ by less than this many bytes count as alike.
-LEAST_GAIN = 2
+LEAST_GAIN = 1
+#: Bytes of a match with ordinary text that can reach that gain.
+LEAST_MATCH = 7
+#: Natural log by which a segment must be less likely to come from chance than one in all beginnings.
+SURE = 3.0
+#: What an ordinary document may gain by its length alone: this many times the mean of ordinary windows.
+DRIFT = 8.0
+#: Most windows of the labelled ordinary sample that the ordinary dictionary is trained on, those with the lowest hash.
+DICTIONARY_WINDOWS = 20_000
 LEVEL = 1
 #: zstandard looks for no match in the last eight bytes of its input, so that each window ends in a pad.
 _PAD = b" ........"
@@ -53,8 +62,13 @@ class Model:
 
     ordinary: bytes
     toxic: bytes
-    threshold: int
+    threshold: float
     segments: tuple[bytes, ...]
+    #: Bytes a window that a document must gain before any count.
+    drift: float = 0.0
+
+    def excess(self, total: int, windows: int) -> float:
+        return total - self.drift * windows
 
     def scorer(self) -> Scorer:
         return _scorer(self.ordinary, self.toxic)
@@ -76,10 +90,11 @@ class Scorer:
         plain, bad = self.plain.compress, self.bad.compress
         return [len(plain(w)) - len(bad(w)) for w in windows(text)]
 
-    def score(self, text: str) -> tuple[int, int, int]:
-        """Bytes saved in all windows that gain, the largest gain, the number of such windows."""
-        hits = [g for g in self.gains(text) if g >= LEAST_GAIN]
-        return sum(hits), max(hits, default=0), len(hits)
+    def score(self, text: str) -> tuple[int, int, int, int]:
+        """Bytes saved in all windows that gain, the largest gain, the number of such windows and of all."""
+        gains = self.gains(text)
+        hits = [g for g in gains if g >= LEAST_GAIN]
+        return sum(hits), max(hits, default=0), len(hits), len(gains)
 
 
 @lru_cache(maxsize=4)
@@ -96,22 +111,48 @@ def _prefixes(text: str) -> set[str]:
     return {w[:k] for w in set(_words(text)) for k in range(4, min(len(w), 24) + 1)}
 
 
+def _pieces(word: str) -> set[bytes]:
+    """The runs of LEAST_MATCH bytes of a word after a space, or all of it if it is shorter."""
+    data = b" " + word.encode("utf-8", "replace")
+    return {data[i : i + LEAST_MATCH] for i in range(len(data) - LEAST_MATCH + 1)} | {data[:LEAST_MATCH]}
+
+
 def toxic_segments(toxic: list[str], ordinary: list[str], share: float = 0.02, stray: float = 0.001) -> list[str]:
     """Word beginnings that occur in a share of the toxic documents and hardly in ordinary ones.
 
-    Near copies count once (documents with the same least word hash), else a group of copies would
-    bring its own words in. Of beginnings with about the same documents the longest stays.
+    Near copies count once (documents with the same least word hash), and a beginning counts at most as
+    often as different words stand before it, else copies and shared passages would bring their own words
+    in. A beginning with a run of bytes that is at home in ordinary text would save bytes there, so it is
+    left out, and so is one that chance could have brought together (a bound on the Poisson tail). Of beginnings with about the same documents the longest stays.
     """
     seen: dict[int, set[str]] = {}
+    before: dict[str, set[str]] = {}
     for text in toxic:
-        words = [w for w in _words(text) if len(w) > 5]
-        seen.setdefault(min((crc32(w.encode()) for w in words), default=crc32(text.encode("utf-8", "replace"))), _prefixes(text))
+        words = _words(text)
+        for left, word in zip(["", *words], words):
+            for k in range(4, min(len(word), 24) + 1):
+                before.setdefault(word[:k], set()).add(left)
+        seen.setdefault(min((crc32(w.encode()) for w in words if len(w) > 5), default=crc32(text.encode("utf-8", "replace"))), _prefixes(text))
     in_toxic = Counter(p for s in seen.values() for p in s)
-    in_ordinary = Counter()
-    often = {p for p, n in in_toxic.items() if n >= max(3, share * len(seen))}
+    often = {p: n for p in in_toxic if (n := min(in_toxic[p], len(before[p]))) >= max(3, share * len(seen))}
+    pieces = {p: _pieces(p) for p in often}
+    wanted = set().union(*pieces.values())
+    of_word: dict[str, set[bytes]] = {}
+    in_ordinary: Counter[bytes] = Counter()
     for text in ordinary:
-        in_ordinary.update(_prefixes(text) & often)
-    good = {p: in_toxic[p] for p in often if in_ordinary[p] <= stray * len(ordinary)}
+        here: set[bytes] = set()
+        for w in set(_words(text)):
+            if w not in of_word:
+                data = b" " + w.encode("utf-8", "replace")
+                of_word[w] = {data[i:j] for i in range(len(data)) for j in range(i + 5, min(len(data), i + LEAST_MATCH) + 1)} & wanted
+            here |= of_word[w]
+        in_ordinary.update(here)
+    good = {}
+    for p, n in often.items():
+        strays = max(in_ordinary[x] for x in pieces[p])
+        chance = (strays + 1) * len(seen) / max(1, len(ordinary))
+        if strays <= stray * len(ordinary) and n > chance and n * math.log(n / chance) - n + chance >= math.log(len(in_toxic)) + SURE:
+            good[p] = n
     kept = [p for p, n in good.items() if not any(good.get(q, 0) >= 0.8 * n for q in good if len(q) > len(p) and q.startswith(p))]
     # a longer beginning within a kept shorter one adds nothing
     return sorted((p for p in kept if not any(p != q and p.startswith(q) for q in kept)), key=lambda p: (good[p], p))
@@ -128,14 +169,17 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     segments = toxic_segments(fit_toxic, fit_ordinary) if fit_toxic and fit_ordinary else []
     if not segments:
         return None
-    samples = sorted((w for t in fit_ordinary for w in windows(t)), key=crc32)[:20_000]
+    samples = sorted((w for t in fit_ordinary for w in windows(t)), key=crc32)[:DICTIONARY_WINDOWS]
     samples *= max(1, -(-400 // len(samples)))
     base = zstandard.train_dictionary(DICTIONARY if sum(map(len, samples)) > 20 * DICTIONARY else 512, samples, level=LEVEL).as_bytes()
     own = b"".join(b" " + s.encode() for s in segments) + b" "
-    model = Model(base + b"\0" * len(own), base + own, 0, tuple(s.encode() for s in segments))
-    scores = sorted(model.scorer().score(t)[0] for t in held)
-    allowed = scores[max(0, len(scores) - 1 - int(FALSE_ALARMS * len(scores)))] if scores else 0
-    return Model(model.ordinary, model.toxic, max(allowed + 1, 2 * LEAST_GAIN), model.segments)
+    ordinary_part, toxic_part = base + b"\0" * len(own), base + own
+    scores = [_scorer(ordinary_part, toxic_part).score(t) for t in held]
+    drift = DRIFT * sum(x[0] for x in scores) / max(1, sum(x[3] for x in scores))
+    model = Model(ordinary_part, toxic_part, 0.0, tuple(s.encode() for s in segments), drift)
+    excess = sorted(model.excess(x[0], x[3]) for x in scores)
+    allowed = excess[max(0, len(excess) - 1 - int(FALSE_ALARMS * len(excess)))] if excess else 0.0
+    return replace(model, threshold=max(allowed, 1.5 * LEAST_GAIN))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[str]]:
@@ -151,14 +195,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
 
 
-_SCORES = [("toxic_bytes", pa.int64()), ("largest_gain", pa.int64()), ("toxic_windows", pa.int64()), ("is_toxic", pa.bool_())]
+_SCORES = [("toxic_bytes", pa.int64()), ("largest_gain", pa.int64()), ("toxic_windows", pa.int64()), ("windows", pa.int64()), ("is_toxic", pa.bool_())]
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """Every document with its compression scores and verdict.
 
     Columns: doc_id; toxic_bytes, the bytes that the toxic dictionary saves over all windows that gain;
-    largest_gain of a window; toxic_windows; is_toxic. A row of docs gives a row: null and repeated ids
+    largest_gain of a window; toxic_windows, those that gain; windows, all; is_toxic, whether toxic_bytes
+    exceeds what text of that many windows may gain and the threshold. A row of docs gives a row: null and repeated ids
     too. Null and empty texts score 0 and aren't toxic. Without a model all scores are null and
     nothing is toxic. Texts of any length are read whole. Other columns aren't looked at.
     """
@@ -166,16 +211,16 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), *_SCORES])
         for batch in slices(batches):
-            rows = [(None, None, None, False) if model is None else _verdict(model, t) for t in batch.column(1).to_pylist()]
+            rows = [(None, None, None, None, False) if model is None else _verdict(model, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows), _SCORES))], schema=schema)
 
     narrow = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, toxic_bytes bigint, largest_gain bigint, toxic_windows bigint, is_toxic boolean")
+    return narrow.mapInArrow(run, "doc_id bigint, toxic_bytes bigint, largest_gain bigint, toxic_windows bigint, windows bigint, is_toxic boolean")
 
 
-def _verdict(model: Model, text: str | None) -> tuple[int, int, int, bool]:
-    total, most, n = model.scorer().score(text) if text else (0, 0, 0)
-    return total, most, n, total >= model.threshold
+def _verdict(model: Model, text: str | None) -> tuple[int, int, int, int, bool]:
+    total, most, n, windows = model.scorer().score(text) if text else (0, 0, 0, 0)
+    return total, most, n, windows, model.excess(total, windows) > model.threshold
 
 
 def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -184,7 +229,7 @@ def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep = [model is None or not _verdict(model, t)[3] for t in batch.column(text_at).to_pylist()]
+            keep = [model is None or not _verdict(model, t)[4] for t in batch.column(text_at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
