@@ -131,6 +131,8 @@ def _iban(code: str) -> bool:
 
 def _number_kind(found: str) -> str | None:
     digits = re.sub(r"\D", "", found)
+    if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", found):
+        return None  # a version, or an address out of range
     if re.fullmatch(r"[\d ]+|[\d\-]+", found) and 13 <= len(digits) <= 19:
         return "card" if _luhn(digits) else "account"
     if 7 <= len(digits) <= 15 and (found[0] in "+(" or re.search(r"\d[ .()\-]+\d", found) or len(digits) in (10, 11)):

@@ -121,20 +121,22 @@ def toxic_segments(toxic: list[str], ordinary: list[str], share: float = 0.02, s
     """Word beginnings that occur in a share of the toxic documents and hardly in ordinary ones.
 
     Near copies count once (documents with the same least word hash), and a beginning counts at most as
-    often as different words stand before it, else copies and shared passages would bring their own words
+    often as different words stand before it and after it, else copies and shared passages would bring their own words
     in. A beginning with a run of bytes that is at home in ordinary text would save bytes there, so it is
     left out, and so is one that chance could have brought together (a bound on the Poisson tail). Of beginnings with about the same documents the longest stays.
     """
     seen: dict[int, set[str]] = {}
     before: dict[str, set[str]] = {}
+    after: dict[str, set[str]] = {}
     for text in toxic:
         words = _words(text)
-        for left, word in zip(["", *words], words):
+        for left, word, right in zip(["", *words], words, [*words[1:], ""]):
             for k in range(4, min(len(word), 24) + 1):
                 before.setdefault(word[:k], set()).add(left)
+                after.setdefault(word[:k], set()).add(right)
         seen.setdefault(min((crc32(w.encode()) for w in words if len(w) > 5), default=crc32(text.encode("utf-8", "replace"))), _prefixes(text))
     in_toxic = Counter(p for s in seen.values() for p in s)
-    often = {p: n for p in in_toxic if (n := min(in_toxic[p], len(before[p]))) >= max(3, share * len(seen))}
+    often = {p: n for p in in_toxic if (n := min(in_toxic[p], len(before[p]), len(after[p]))) >= max(3, share * len(seen))}
     pieces = {p: _pieces(p) for p in often}
     wanted = set().union(*pieces.values())
     of_word: dict[str, set[bytes]] = {}
