@@ -125,35 +125,44 @@ def toxic_segments(toxic: list[str], ordinary: list[str], share: float = 0.02, s
     in. A beginning with a run of bytes that is at home in ordinary text would save bytes there, so it is
     left out, and so is one that chance could have brought together (a bound on the Poisson tail). Of beginnings with about the same documents the longest stays.
     """
-    seen: dict[int, set[str]] = {}
-    before: dict[str, set[str]] = {}
-    after: dict[str, set[str]] = {}
+    seen: set[int] = set()
+    in_toxic: Counter[str] = Counter()
+    for text in toxic:
+        key = min((crc32(w.encode()) for w in _words(text) if len(w) > 5), default=crc32(text.encode("utf-8", "replace")))
+        if key not in seen:
+            seen.add(key)
+            in_toxic.update(_prefixes(text))
+    least = max(3, share * len(seen))
+    beginnings = len(in_toxic)
+    in_toxic = Counter({p: n for p, n in in_toxic.items() if n >= least})
+    before: dict[str, set[int]] = {p: set() for p in in_toxic}
+    after: dict[str, set[int]] = {p: set() for p in in_toxic}
     for text in toxic:
         words = _words(text)
         for left, word, right in zip(["", *words], words, [*words[1:], ""]):
             for k in range(4, min(len(word), 24) + 1):
-                before.setdefault(word[:k], set()).add(left)
-                after.setdefault(word[:k], set()).add(right)
-        seen.setdefault(min((crc32(w.encode()) for w in words if len(w) > 5), default=crc32(text.encode("utf-8", "replace"))), _prefixes(text))
-    in_toxic = Counter(p for s in seen.values() for p in s)
-    often = {p: n for p in in_toxic if (n := min(in_toxic[p], len(before[p]), len(after[p]))) >= max(3, share * len(seen))}
+                if word[:k] in before:
+                    before[word[:k]].add(crc32(left.encode("utf-8", "replace")))
+                    after[word[:k]].add(crc32(right.encode("utf-8", "replace")))
+    often = {p: m for p, n in in_toxic.items() if (m := min(n, len(before[p]), len(after[p]))) >= least}
     pieces = {p: _pieces(p) for p in often}
     wanted = set().union(*pieces.values())
-    of_word: dict[str, set[bytes]] = {}
+    of_word: dict[str, frozenset[bytes]] = {}
+    none: frozenset[bytes] = frozenset()
     in_ordinary: Counter[bytes] = Counter()
     for text in ordinary:
         here: set[bytes] = set()
         for w in set(_words(text)):
             if w not in of_word:
                 data = b" " + w.encode("utf-8", "replace")
-                of_word[w] = {data[i:j] for i in range(len(data)) for j in range(i + 5, min(len(data), i + LEAST_MATCH) + 1)} & wanted
+                of_word[w] = frozenset(x for i in range(len(data)) for j in range(i + 5, min(len(data), i + LEAST_MATCH) + 1) if (x := data[i:j]) in wanted) or none
             here |= of_word[w]
         in_ordinary.update(here)
     good = {}
     for p, n in often.items():
         strays = max(in_ordinary[x] for x in pieces[p])
         chance = (strays + 1) * len(seen) / max(1, len(ordinary))
-        if strays <= stray * len(ordinary) and n > chance and n * math.log(n / chance) - n + chance >= math.log(len(in_toxic)) + SURE:
+        if strays <= stray * len(ordinary) and n > chance and n * math.log(n / chance) - n + chance >= math.log(beginnings) + SURE:
             good[p] = n
     kept = [p for p, n in good.items() if not any(good.get(q, 0) >= 0.8 * n for q in good if len(q) > len(p) and q.startswith(p))]
     # a longer beginning within a kept shorter one adds nothing
