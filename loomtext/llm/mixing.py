@@ -99,9 +99,10 @@ def mix(docs: DataFrame, total: int | None = None, weights: dict[str | None, int
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mixture itself: every row of docs as often as it has copies, with the columns of docs."""
-    rows = mix(docs).where("__copies > 0")
-    names = rows.columns[:-1]
-    return rows.select(*[rows[f"`{c}`"] for c in names], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).alias("__copies")).drop("__copies")
+    inner = [f"__m{i}" for i in range(len(docs.columns))]
+    apart = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, inner)], docs["doc_id"], docs["source"], docs["text"])
+    rows = mix(apart).where("__copies > 0")
+    return rows.select(*inner, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*inner).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
