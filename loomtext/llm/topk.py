@@ -166,12 +166,12 @@ def top_products(vecs: DataFrame, k: int = K) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_products(table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
+    return top_products(table(spark, sf_dir, "embeddings")).withColumn("score", F.floor(F.col("score") * 1e6 + 0.5).cast("double") / 1e6)
 
 
 SQL = f"""
 with v as (select vec_id, embedding::double[] as e from embeddings),
 p as (select a.vec_id, b.vec_id as other_id, round(list_dot_product(a.e, b.e), {PLACES}) as s from v a join v b on a.vec_id <> b.vec_id),
 r as (select vec_id, row_number() over (partition by vec_id order by s desc, other_id) as rank, other_id, s from p)
-select vec_id, rank::int as rank, other_id, round(s, 6) as score from r where rank <= {K}
+select vec_id, rank::int as rank, other_id, floor(s * 1e6::double + 0.5::double) / 1e6::double as score from r where rank <= {K}
 """
