@@ -107,8 +107,8 @@ def test_builder_rejects(spark, samples):
 def test_word2vec_header_out_of_range(tmp_path):
     path = tmp_path / "v.bin"
     path.write_bytes(b"999999999 300\n")
-    with pytest.raises(Exception, match=r"(?i)vocab|large|limit|words"):
-        Word2VecFile.load(str(path))
+    with pytest.raises(Exception, match="999999999 words"):
+        Word2VecFile(str(path))
 
 
 def test_entry_points(spark):
