@@ -15,7 +15,7 @@ from loomtext.llm.common import table
 #: Most labelled URLs of each class that a model is trained on, the ones with the lowest hash.
 PER_CLASS = 20_000
 #: Registered names whose pages are labelled as unwanted where a table has no labels of its own.
-BLOCKED_NAMES = ("spam-farm", "cheap-pills", "casino-win")
+BLOCKED_NAMES = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
 FEATURES = (
     "length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "entropy", "host_entropy", "parameters",
     "hyphens", "host_hyphens", "host_labels", "longest_word", "is_secure", "has_fragment", "is_address", "suffix_rate", "suffix_count",

@@ -166,6 +166,14 @@ def test_url_filter_on_held_out_urls_and_awkward_rows(spark):
     assert url_filter.train(spark.createDataFrame([(1, "http://a.b", 1)], schema)) is None
 
 
+def test_url_filter_finds_every_unwanted_name_of_the_pages(spark):
+    rows = url_filter.query(spark, "/root/testdata/sf0.1").collect()
+    for name in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x"):
+        own = [r.is_filtered for r in rows if f"{name}." in r.url]
+        assert own and np.mean(own) > 0.9
+    assert np.mean([r.is_filtered for r in rows if "-" not in r.url.split("/")[2]]) < 0.01
+
+
 def test_entropy_and_counts_of_url_features(spark):
     r = url_filter.lexical_features(spark.createDataFrame([("https://ab.example.co/x/y1?a=1&b=2#f",)], "__url string")).first()
     host = "ab.example.co"
