@@ -30,7 +30,7 @@ LEAST_GAIN = 1
 LEAST_MATCH = 7
 #: Natural log by which a segment must be less likely to come from chance than one in all beginnings.
 SURE = 3.0
-#: What an ordinary document may gain by its length alone: this many times the mean of ordinary windows.
+#: What each window of a run may gain before any counts: this many times the mean of ordinary windows.
 DRIFT = 8.0
 #: Most windows of the labelled ordinary sample that the ordinary dictionary is trained on, those with the lowest hash.
 DICTIONARY_WINDOWS = 20_000
@@ -64,11 +64,23 @@ class Model:
     toxic: bytes
     threshold: float
     segments: tuple[bytes, ...]
-    #: Bytes a window that a document must gain before any count.
+    #: Bytes a window that a run must gain before any count.
     drift: float = 0.0
-
-    def excess(self, total: int, windows: int) -> float:
-        return total - self.drift * windows
+    #: Natural log by which a run of ordinary windows gets less likely with each byte.
+    rate: float = 1.0
+
+    def excess(self, gains: list[int]) -> float:
+        """Bytes over the drift in the best run of neighbouring windows, less what as many ordinary windows reach by chance.
+
+        Ordinary windows anywhere else leave a run as it is; their number counts only by its logarithm. All
+        windows together are one run that isn't chosen, and have nothing taken off.
+        """
+        best = run = every = 0.0
+        for g in gains:
+            over = (g if g >= LEAST_GAIN else 0) - self.drift
+            run, every = max(0.0, run + over), every + over
+            best = max(best, run)
+        return max(every, best - math.log(max(1, len(gains))) / self.rate)
 
     def scorer(self) -> Scorer:
         return _scorer(self.ordinary, self.toxic)
@@ -90,11 +102,18 @@ class Scorer:
         plain, bad = self.plain.compress, self.bad.compress
         return [len(plain(w)) - len(bad(w)) for w in windows(text)]
 
-    def score(self, text: str) -> tuple[int, int, int, int]:
-        """Bytes saved in all windows that gain, the largest gain, the number of such windows and of all."""
-        gains = self.gains(text)
-        hits = [g for g in gains if g >= LEAST_GAIN]
-        return sum(hits), max(hits, default=0), len(hits), len(gains)
+
+def chance_rate(gains: list[int], drift: float) -> float:
+    """The rate at which the best sum of a run of such gains less the drift falls off: where the mean of exp(rate * (gain - drift)) is 1."""
+    counts = Counter(g if g >= LEAST_GAIN else 0 for g in gains)
+    low, high = 0.0, 20.0
+    for _ in range(60):
+        rate = (low + high) / 2
+        if sum(n * math.exp(rate * (g - drift)) for g, n in counts.items()) > len(gains):
+            high = rate
+        else:
+            low = rate
+    return max(low, 1e-3)
 
 
 @lru_cache(maxsize=4)
@@ -185,10 +204,11 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     base = zstandard.train_dictionary(DICTIONARY if sum(map(len, samples)) > 20 * DICTIONARY else 512, samples, level=LEVEL).as_bytes()
     own = b"".join(b" " + s.encode() for s in segments) + b" "
     ordinary_part, toxic_part = base + b"\0" * len(own), base + own
-    scores = [_scorer(ordinary_part, toxic_part).score(t) for t in held]
-    drift = DRIFT * sum(x[0] for x in scores) / max(1, sum(x[3] for x in scores))
-    model = Model(ordinary_part, toxic_part, 0.0, tuple(s.encode() for s in segments), drift)
-    excess = sorted(model.excess(x[0], x[3]) for x in scores)
+    scores = [_scorer(ordinary_part, toxic_part).gains(t) for t in held]
+    every = [LEAST_GAIN, *(g for x in scores for g in x)]  # as if one more window gained, so that the rate is finite
+    drift = DRIFT * sum(g for g in every if g >= LEAST_GAIN) / len(every)
+    model = Model(ordinary_part, toxic_part, 0.0, tuple(s.encode() for s in segments), drift, chance_rate(every, drift))
+    excess = sorted(map(model.excess, scores))
     allowed = excess[max(0, len(excess) - 1 - int(FALSE_ALARMS * len(excess)))] if excess else 0.0
     return replace(model, threshold=max(allowed, 1.5 * LEAST_GAIN))
 
@@ -213,8 +233,8 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """Every document with its compression scores and verdict.
 
     Columns: doc_id; toxic_bytes, the bytes that the toxic dictionary saves over all windows that gain;
-    largest_gain of a window; toxic_windows, those that gain; windows, all; is_toxic, whether toxic_bytes
-    exceeds what text of that many windows may gain and the threshold. A row of docs gives a row: null and repeated ids
+    largest_gain of a window; toxic_windows, those that gain; windows, all; is_toxic, whether a run of
+    neighbouring windows, one or all, gains more than chance brings in a text of that many windows and the threshold. A row of docs gives a row: null and repeated ids
     too. Null and empty texts score 0 and aren't toxic. Without a model all scores are null and
     nothing is toxic. Texts of any length are read whole. Other columns aren't looked at.
     """
@@ -230,8 +250,9 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def _verdict(model: Model, text: str | None) -> tuple[int, int, int, int, bool]:
-    total, most, n, windows = model.scorer().score(text) if text else (0, 0, 0, 0)
-    return total, most, n, windows, model.excess(total, windows) > model.threshold
+    gains = model.scorer().gains(text) if text else []
+    hits = [g for g in gains if g >= LEAST_GAIN]
+    return sum(hits), max(hits, default=0), len(hits), len(gains), model.excess(gains) > model.threshold
 
 
 def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -89,6 +90,25 @@ def test_toxicity_on_awkward_rows(spark):
     assert toxicity.score_documents(docs(spark, []), model).count() == 0
 
 
+def test_a_toxic_passage_counts_in_text_of_any_length():
+    rng = random.Random(5)
+    rows, labels = _labelled(rng, 900)
+    model = toxicity.train([t for (_, t, _), (_, y) in zip(rows, labels) if y], [t for (_, t, _), (_, y) in zip(rows, labels) if not y])
+    model = replace(model, drift=0.22)  # as at sf0.1; the ordinary text here gains nothing
+    fresh, truth = _labelled(random.Random(6), 100)
+    for words in (300, 3000, 30_000):
+        rest = prose(rng, words)
+        assert np.mean([toxicity._verdict(model, f"{rest} {t} {rest}")[4] for (_, t, _), (_, y) in zip(fresh, truth) if y]) > 0.9
+        assert not any(toxicity._verdict(model, f"{rest} {t} {rest}")[4] for (_, t, _), (_, y) in zip(fresh, truth) if not y)
+
+
+def test_windows_without_gain_cost_a_run_only_a_logarithm():
+    model = toxicity.Model(b"", b"", 3.0, (), drift=0.25, rate=2.0)
+    for n in (10, 1000):
+        assert model.excess([0] * n + [4, 0, 3] + [0] * n) == pytest.approx(6.25 - np.log(3 + 2 * n) / 2)
+    assert model.excess([]) == 0 and model.excess([4, -4, 3]) == 6.25  # the whole is one run
+
+
 def test_copies_and_shared_passages_bring_no_segments_in():
     rng = random.Random(9)
     passage = "zyqqor blentavik " + prose(rng, 60)
