@@ -27,13 +27,18 @@ HOMOGLYPHS |= {zero + d: str(d) for zero in (0x660, 0x6F0, 0x966, 0x9E6, 0xE50,
 _DIGITS = dict(zip("zero one two three four five six seven eight nine oh".split(), "01234567890"))
 _DIGIT_WORDS = {w.encode() for w in _DIGITS}
 _DIGIT = "(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)"
-_SPELLED = re.compile(rf"(?<![^\W\d_]){_DIGIT}(?:[ \-.,]{{1,2}}{_DIGIT})+(?![^\W\d_])", re.I)
+_SPELLED = re.compile(rf"(?<![^\W\d_]){_DIGIT}(?:(?: - |[ \-.,]{{1,2}}){_DIGIT})+(?![^\W\d_])", re.I)
+#: Spelled digits between two " - ".
+_GROUP = re.compile(rf"{_DIGIT}(?:[ \-.,]{{1,2}}{_DIGIT})*", re.I)
 #: What may stand between spelled digits, and what may touch them.
 _JOINS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 _INVISIBLE = re.compile("[­​-‍⁠﻿]+")
+#: The forms of at and dot; a name part before an at, and domain parts after it.
+_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|@)"
+_POINT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
 _BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
-_BARE = re.compile(r"(?<![^\W_])[A-Za-z0-9](?:[\w+\-.]*[A-Za-z0-9])?(\s+at\s+)[A-Za-z0-9\-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9\-]+)*(?:\s+dot\s+|\.)[A-Za-z]{2,}(?![^\W_])", re.I)
-_DOT = re.compile(r"\s+dot\s+", re.I)
+_ADDRESS = re.compile(rf"(?<![^\W_])[A-Za-z0-9](?:[\w+\-.]{{0,62}}[A-Za-z0-9])?({_AT})[A-Za-z0-9\-]+(?:{_POINT}[A-Za-z0-9\-]+)*{_POINT}[A-Za-z]{{2,}}(?![^\W_])", re.I)
+_DOT = re.compile(_POINT, re.I)
 Rewrite = tuple[int, int, str]
 
 
@@ -91,18 +96,18 @@ def normalise(text: str) -> Mapped:
     out = Mapped(text if plain else text.translate(HOMOGLYPHS))
     if not plain:
         out.rewrite([(m.start(), m.end(), "") for m in _INVISIBLE.finditer(out.text)])
-    if any(c in out.text for c in "[({<"):
-        out.rewrite([(m.start(), m.end(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in _BRACKETED.finditer(out.text)])
+    edits = [(m.start(), m.end(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in _BRACKETED.finditer(out.text)] if any(c in out.text for c in "[({<") else []
     words = set(out.text.encode("utf-8", "replace").translate(_JOINS).lower().split())
-    if b"dot" in words and b"at" in words:
-        edits: list[Rewrite] = []
-        for m in _BARE.finditer(out.text):
-            if _DOT.search(m[0]):  # "at" in plain prose before a domain isn't a disguise
-                edits.append((*m.span(1), "@"))
-                edits += [(m.end(1) + d.start(), m.end(1) + d.end(), ".") for d in _DOT.finditer(out.text[m.end(1) : m.end()])]
-        out.rewrite(edits)
+    if (b"dot" in words or edits) and (b"at" in words or "@" in out.text):
+        held = {e[:2] for e in edits}
+        for m in _ADDRESS.finditer(out.text):
+            points = [(m.end(1) + d.start(), m.end(1) + d.end(), ".") for d in _DOT.finditer(out.text[m.end(1) : m.end()]) if d[0] != "."]
+            if points:  # a bare "at" before a plain domain isn't a disguise; bracketed ones are rewritten anyway
+                edits += [e for e in ([(*m.span(1), "@")] if m[1] != "@" else []) + points if e[:2] not in held]
+    out.rewrite(sorted(edits))
     if not words.isdisjoint(_DIGIT_WORDS):
-        out.rewrite([(m.start(), m.end(), "".join(_DIGITS[w.lower()] for w in re.findall(_DIGIT, m[0], re.I))) for m in _SPELLED.finditer(out.text)])
+        groups = [(m.start() + g.start(), m.start() + g.end(), g[0]) for m in _SPELLED.finditer(out.text) for g in _GROUP.finditer(m[0])]
+        out.rewrite([(a, b, "".join(_DIGITS[w.lower()] for w in re.findall(_DIGIT, g, re.I))) for a, b, g in groups])
     return out
 
 
@@ -112,6 +117,7 @@ _EMAIL = re.compile(r"(?<![\w+.\-])[A-Za-z0-9][\w.+\-]{0,63}@(?:[A-Za-z0-9\-]{1,
 # the first character stands before its own look-behind: the search for it is then a fast scan
 _IPV4 = re.compile(r"\d(?<![\w.].)\d{0,2}(?:\.\d{1,3}){3}(?!\w|\.\d)")
 _NUMBER = re.compile(r"[+(\d](?<![\w.].)(?:(?<=\d)|(?<=\+)\(?\d|(?<=\()\d)(?:[ .()\-]{0,2}\d){6,18}(?!\w|\.\d)")
+_SPACED = re.compile(r"[+(\d](?<![\w.].)(?:(?<=\d)|(?<=\+)\(?\d|(?<=\()\d)(?:(?:\)? - |[ .()\-]{0,2})\d){6,18}(?!\w|\.\d)")
 _KEYS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([^\s\"'%&$*#!|]{8,})[\"']?")
 _SSN = re.compile(r"\d(?<![\w\-].)\d{2}-\d{2}-\d{4}(?![\w\-])")
@@ -144,6 +150,26 @@ def _number_kind(found: str) -> str | None:
     return None
 
 
+def _spaced_kind(found: str) -> str | None:
+    """The kind of a number with " - " between some of its groups; stricter, since ranges are written so."""
+    tight = found.replace(" - ", "-")
+    kind, groups = _number_kind(tight), re.findall(r"\d+", tight)
+    if kind == "phone" and found[0] not in "+(" and (sum(map(len, groups)) > 11 or len(groups) == 2 and ([len(g) for g in groups] != [3, 4] or groups[0] < "2")):
+        return None
+    return kind if kind in ("phone", "card") else None
+
+
+def _numbers(t: str) -> list[tuple[int, int, str]]:
+    """Cards, accounts and phones. One with " - " inside stands for the only other number that it holds, but not for several."""
+    hits = [(*m.span(), kind) for m in _NUMBER.finditer(t) if (kind := _number_kind(m[0]))]
+    for m in _SPACED.finditer(t) if " - " in t else ():
+        if " - " in m[0] and (kind := _spaced_kind(m[0])):
+            inside = [h for h in hits if h[0] < m.end() and m.start() < h[1]]
+            if len(inside) < 2:
+                hits = [h for h in hits if h not in inside] + [(*m.span(), kind)]
+    return hits
+
+
 def find(text: str | None) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, normalised value) of the identifiers, in source characters, first kinds first served."""
     if not text:
@@ -161,7 +187,7 @@ def find(text: str | None) -> list[tuple[str, int, int, str]]:
         hits += [(*m.span(), "iban") for m in _IBAN.finditer(t) if _iban(m[0])]
         hits += [(*m.span(), "ip") for m in _IPV4.finditer(t) if all(int(x) < 256 for x in m[0].split("."))]
         hits += [(*m.span(), "ssn") for m in _SSN.finditer(t)]
-        hits += [(*m.span(), kind) for m in _NUMBER.finditer(t) if (kind := _number_kind(m[0]))]
+        hits += _numbers(t)
     out, taken = [], []
     for start, end, kind in hits:
         if all(end <= a or b <= start for a, b in taken):

@@ -137,6 +137,36 @@ def test_identifiers_map_back_to_their_source(text, kind, source, value):
     assert pii.redact(text) == text.replace(source, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize(
+    ("source", "kind", "value"),
+    [
+        ("jane (at) example dot com", "email", "jane@example.com"),
+        ("jane at example [dot] com", "email", "jane@example.com"),
+        ("jane at example (dot) co (dot) uk", "email", "jane@example.co.uk"),
+        ("jane at example dot co [.] uk", "email", "jane@example.co.uk"),
+        ("jane@example dot com", "email", "jane@example.com"),
+        ("jane (at) example.com", "email", "jane@example.com"),
+        ("five five five - one two three four", "phone", "555 - 1234"),
+        ("(555) - 123 - 4567", "phone", "(555) - 123 - 4567"),
+        ("(555) - 123-4567", "phone", "(555) - 123-4567"),
+        ("+1 - 555 - 123 - 4567", "phone", "+1 - 555 - 123 - 4567"),
+    ],
+)
+def test_mixed_disguises_and_wide_gaps(source, kind, value):
+    text = f"so: {source}, thanks"
+    assert [(k, text[s:e], v) for k, s, e, v in pii.find(text)] == [(kind, source, value)]
+    assert pii.redact(text) == text.replace(source, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize("text", ["from 1990 - 1995", "3000 - 5000 of them", "2024 - 05 - 17", "look at example.org (see below)", "a dot at example.org"])
+def test_ranges_and_plain_domains_have_no_identifiers(text):
+    assert pii.find(text) == []
+
+
+def test_numbers_beside_a_spaced_dash_stay_apart():
+    assert [v for *_, v in pii.find("555-123-4567 - 2 left; 555-123-4567 - 555-123-9999")] == ["555-123-4567", "555-123-4567", "555-123-9999"]
+
+
 @pytest.mark.parametrize("text", ["", "on 2024-05-17 at 10:30", "version 1.2.3", "I met him at work", "300.400.500.600", "look at example.org", "pages 12-15 of 3"])
 def test_clean_text_has_no_identifiers(text):
     assert pii.find(text) == [] and pii.redact(text) == text
