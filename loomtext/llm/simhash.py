@@ -17,8 +17,8 @@ from loomtext.llm.graph import components
 BITS = 128
 #: Fingerprints that differ in at most this many of 128 bits are near-duplicates.
 DISTANCE = 22
-#: The recall that the tables are laid out for, at a distance of two thirds of DISTANCE and more.
-RECALL, AT_DISTANCE = 0.97, 16
+#: The least recall that the tables are laid out for, of pairs at the full distance; nearer pairs have more.
+RECALL, AT_DISTANCE = 0.97, DISTANCE
 #: Rows below a lowest node of the index, and nodes below an upper one.
 FAN = 16
 _BLANK = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -76,7 +76,7 @@ def layout(n: int) -> list[np.ndarray]:
     which RECALL sets, grows slowly.
     """
     prefix = max(4, round(0.75 * math.log2(max(n, 2))))
-    hit = (1 - AT_DISTANCE / BITS) ** prefix
+    hit = math.comb(BITS - AT_DISTANCE, prefix) / math.comb(BITS, prefix)  # the bits of a bucket are all different
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - hit))
     rng = np.random.default_rng(20_240_607)
     return [rng.permutation(BITS)[:prefix] for _ in range(tables)]

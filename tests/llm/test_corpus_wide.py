@@ -70,6 +70,14 @@ def test_simhash_groups_against_all_pairs(spark):
     assert all(r.is_kept == (i == r.keep_id) for i, r in got.items())
 
 
+@pytest.mark.parametrize("n", [500, 10_000, 1_000_000, 15_000_000])
+def test_tables_meet_the_recall_at_the_full_distance_for_any_size(n):
+    rng = np.random.default_rng(n)
+    far = rng.permuted(np.tile(np.arange(simhash.BITS) < simhash.DISTANCE, (4000, 1)), axis=1)
+    met = np.any([~far[:, order].any(axis=1) for order in simhash.layout(n)], axis=0)
+    assert met.mean() > simhash.RECALL - 0.02
+
+
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**64 - 1), st.integers(0, 40)), min_size=1, max_size=60), st.integers(0, 40))
 @settings(max_examples=60, deadline=None)
 def test_gray_index_equals_all_pairs_in_a_bucket(rows, distance):
