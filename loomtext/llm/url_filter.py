@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import table
 
-#: Most labelled URLs of each class that a model is trained on, the ones with the lowest hash.
+#: Most labelled URLs of each class that the trees are fitted to, the ones with the lowest hash.
 PER_CLASS = 20_000
+#: The thresholds to choose from.
+GRID = np.linspace(0.05, 0.95, 91)
 #: Registered names whose pages are labelled as unwanted where a table has no labels of its own.
 BLOCKED_NAMES = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
 FEATURES = (
@@ -128,41 +130,70 @@ class Model:
         return np.column_stack([x, np.array(known).reshape(-1, 2)])
 
 
-def fit_model(x: np.ndarray, suffix: list[str], y: np.ndarray) -> Model | None:
-    """A model of labelled rows: two thirds fit the trees, one third the threshold (best F1). None if a class is empty."""
-    if not 0 < y.sum() < len(y):
-        return None
-    held = np.zeros(len(y), bool)
-    for cls in (0, 1):
-        rows = np.flatnonzero(y == cls)
-        held[rows[::3] if len(rows) >= 30 else rows[:0]] = True
-    fit = ~held
-    prior = float(y[fit].mean())
-    counts: dict[str, list[float]] = {}
-    for s, label in zip(np.array(suffix, object)[fit], y[fit]):
-        c = counts.setdefault(s, [0.0, 0.0])
-        c[0] += label
-        c[1] += 1
-    suffixes = {s: ((a + 20 * prior) / (b + 20), float(np.log1p(b))) for s, (a, b) in counts.items()}
-    model = Model(Trees(), suffixes, prior, 0.5)
-    every = model.features(x, suffix)
-    model.trees = fit_trees(every[fit], y[fit])
-    test = held if held.any() else fit
-    p, truth = model.trees.probabilities(every[test]), y[test]
-    grid = np.linspace(0.05, 0.95, 91)
-    f1 = [2 * (truth * (p >= t)).sum() / max(1, truth.sum() + (p >= t).sum()) for t in grid]
-    good = grid[np.array(f1) >= max(f1) - 1e-12]
-    model.threshold = float(good[len(good) // 2])
-    return model
+def suffix_statistics(counts: dict[str, tuple[int, int]]) -> tuple[dict[str, tuple[float, float]], float]:
+    """By suffix, from its unwanted and all URLs, the smoothed rate of unwanted ones and the log of its URLs in a million; and the rate of all."""
+    bad, n = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    prior = bad / max(1, n)
+    return {s: ((a + 20 * prior) / (b + 20), float(np.log1p(1e6 * b / n))) for s, (a, b) in counts.items()}, prior
+
+
+def best_threshold(unwanted: np.ndarray, wanted: np.ndarray) -> float:
+    """The middle one of the thresholds of GRID with the best F1; the arrays count URLs by how many thresholds they reach."""
+    hit, alarm = (np.cumsum(k[::-1])[::-1][1:] for k in (unwanted, wanted))
+    f1 = 2 * hit / np.maximum(1, unwanted.sum() + hit + alarm)
+    good = GRID[f1 >= f1.max() - 1e-12]
+    return float(good[len(good) // 2])
+
+
+def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.column_stack([np.nan_to_num(np.asarray(batch.column(c).fill_null(0))) for c in range(first, batch.num_columns)])
+
+
+def reached(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """How many unwanted and wanted rows (__label, __suffix, features) reach each number of thresholds of GRID."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, len(GRID) + 1), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                p = model.trees.probabilities(model.features(_matrix(batch, 2), batch.column(1).to_pylist()))
+                np.add.at(out, (np.asarray(batch.column(0)), np.searchsorted(GRID, p, "right")), 1)
+        label, at = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(at), pa.array(out[label, at])], names=["label", "at", "n"])
+
+    out = np.zeros((2, len(GRID) + 1), np.int64)
+    for r in rows.mapInArrow(run, "label bigint, at bigint, n bigint").groupBy("label", "at").agg(F.sum("n").alias("n")).collect():
+        out[r.label, r["at"]] = r.n
+    return out[1], out[0]
 
 
 def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """A model of labelled URLs (url, label 0 or 1), of at most per_class of each class."""
+    """A model of labelled URLs (url, label 0 or 1); None if a class is empty.
+
+    Two thirds of the URLs, by hash, fit it; all others set the threshold (best F1 at the class sizes of
+    the table), unless a class has fewer than 30: then all do both. The trees are fitted to at most
+    per_class of each class, which weigh alike; everything else counts every labelled URL, and in the end
+    the suffixes those of both parts. The driver holds a row for each suffix.
+    """
     known = labelled.where("url IS NOT NULL AND trim(url) <> '' AND label IN (0, 1)").select(F.col("url").alias("__url"), F.col("label").cast("int").alias("__label"))
-    parts = [known.where(F.col("__label") == c).orderBy(F.xxhash64("__url"), "__url").limit(per_class) for c in (0, 1)]
-    rows = lexical_features(parts[0].union(parts[1])).select("__label", "__suffix", *FEATURES[:-2]).collect()
+    known = known.withColumn("__held", F.pmod(F.xxhash64(F.lit("held"), "__url"), F.lit(3)) == 0)
+    parts: list[dict[str, tuple[int, int]]] = [{}, {}]
+    for r in lexical_features(known).groupBy("__suffix", "__held").agg(F.sum("__label").alias("bad"), F.count("*").alias("n")).collect():
+        parts[r["__held"]][r["__suffix"]] = (r.bad, r.n)
+    every = {s: tuple(map(sum, zip(*(c.get(s, (0, 0)) for c in parts)))) for s in parts[0].keys() | parts[1].keys()}
+    bad, n = (sum(c[i] for c in every.values()) for i in (0, 1))
+    if not 0 < bad < n:
+        return None
+    fit, held, counts = (known, known, every) if min(bad, n - bad) < 30 else (known.where("NOT __held"), known.where("__held"), parts[0])
+    chosen = [fit.where(F.col("__label") == c).orderBy(F.xxhash64("__url"), "__url").limit(per_class) for c in (0, 1)]
+    columns = ("__label", "__suffix", *FEATURES[:-2])
+    rows = lexical_features(chosen[0].union(chosen[1])).select(*columns).collect()
+    model = Model(Trees(), *suffix_statistics(counts), 0.5)
     x = np.array([list(r[2:]) for r in rows], float).reshape(-1, len(FEATURES) - 2)
-    return fit_model(x, [r[1] for r in rows], np.array([r[0] for r in rows], int))
+    model.trees = fit_trees(model.features(x, [r[1] for r in rows]), np.array([r[0] for r in rows], int))
+    model.threshold = best_threshold(*reached(lexical_features(held).select(*columns), model))
+    model.suffixes, model.prior = suffix_statistics(every)
+    return model
 
 
 def label_by_name(pages: DataFrame, names: tuple[str, ...] = BLOCKED_NAMES) -> DataFrame:
@@ -188,8 +219,7 @@ def score_urls(pages: DataFrame, model: Model | None) -> DataFrame:
             fine = np.array([bool(u and u.strip()) for u in urls], bool)
             score = np.zeros(len(urls))
             if model and fine.any():
-                x = np.column_stack([np.nan_to_num(np.asarray(batch.column(c).fill_null(0))) for c in range(3, batch.num_columns)])
-                score = model.trees.probabilities(model.features(x, batch.column(2).to_pylist()))
+                score = model.trees.probabilities(model.features(_matrix(batch, 3), batch.column(2).to_pylist()))
             known = fine & (model is not None)
             filtered = known & (score >= (model.threshold if model else 2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, mask=~known), pa.array(filtered)], schema=schema)

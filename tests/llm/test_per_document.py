@@ -216,6 +216,17 @@ def test_url_filter_on_held_out_urls_and_awkward_rows(spark):
     assert url_filter.train(spark.createDataFrame([(1, "http://a.b", 1)], schema)) is None
 
 
+def test_statistics_and_threshold_of_urls_count_all_rows_whatever_the_trees_are_fitted_to(spark):
+    rng = random.Random(3)
+    rows = [(i, f"https://{prose(rng, 1)}.{'top' if (bad := i % 20 == 0) or rng.random() < 0.1 else 'org'}/{rng.randrange(99)}", int(bad)) for i in range(4000)]
+    model = url_filter.train(spark.createDataFrame(rows, "page_id bigint, url string, label int"), per_class=100)
+    top = [y for _, u, y in rows if ".top/" in u]
+    assert model.prior == 0.05 and model.suffixes["top"][0] == pytest.approx((sum(top) + 1) / (len(top) + 20))
+    n = np.zeros((2, 92), int)
+    n[0, [10, 80]], n[1, [10, 80]] = (900, 10), (10, 90)  # F1 at the table's mix
+    assert url_filter.GRID[10] <= url_filter.best_threshold(n[1], n[0]) <= url_filter.GRID[79]
+
+
 def test_url_filter_finds_every_unwanted_name_of_the_pages(spark):
     rows = url_filter.query(spark, "/root/testdata/sf0.1").collect()
     for name in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x"):
