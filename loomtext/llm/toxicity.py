@@ -1,4 +1,10 @@
-"""Operator 4: toxicity by compression distance between two zstandard dictionaries."""
+"""Operator 4: toxicity by compression distance between two zstandard dictionaries.
+
+zstandard trains a dictionary on each class. Taken as they come they differ most in which of the
+countless ordinary fragments each happens to hold, so the toxic one is contrasted: of its content only
+the segments stay that ordinary text hasn't, and they are set beside the ordinary dictionary against as
+many blanks. Both compress every window of a text; the difference in bytes is the window's gain.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,7 @@ from dataclasses import dataclass, replace
 from functools import lru_cache
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -18,22 +25,20 @@ from loomtext.llm.common import slices, table
 
 #: Bytes of a window; windows end at white space and don't overlap.
 WINDOW = 224
-#: Bytes of the ordinary dictionary.
-DICTIONARY = 8192
+#: Bytes of the dictionary that zstandard trains on each class, and of the base that both share.
+DICTIONARY, BASE = 32_768, 8192
 #: Most labelled documents of each class that a model is trained on, the ones with the lowest hash.
 PER_CLASS = 2500
 #: Share of held-out ordinary documents that the calibrated threshold may reject.
 FALSE_ALARMS = 0.002
 #: Windows whose compressed lengths differ by less than this many bytes count as alike.
 LEAST_GAIN = 1
-#: Bytes of a match with ordinary text that can reach that gain.
-LEAST_MATCH = 7
-#: Natural log by which a segment must be less likely to come from chance than one in all beginnings.
-SURE = 3.0
+#: Bytes of a piece of the toxic dictionary, and the least that zstandard takes for a match, so that a window gains by whole pieces alone.
+PIECE = 6
+#: Natural log by which a piece must be less likely to come from chance than one in all pieces, and the share of ordinary documents that may have it.
+SURE, STRAY = 3.0, 0.001
 #: What each window of a run may gain before any counts: this many times the mean of ordinary windows.
 DRIFT = 8.0
-#: Most windows of the labelled ordinary sample that the ordinary dictionary is trained on, those with the lowest hash.
-DICTIONARY_WINDOWS = 20_000
 LEVEL = 1
 #: zstandard looks for no match in the last eight bytes of its input, so that each window ends in a pad.
 _PAD = b" ........"
@@ -56,8 +61,8 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
 class Model:
     """Two dictionaries with the same entropy tables and base content, and the calibrated threshold.
 
-    They differ in one part alone: toxic has segments of toxic text where ordinary has as many blank
-    bytes, so that an ordinary window compresses to the same length under both.
+    They differ in one part alone: toxic has segments of the dictionary trained on toxic text where ordinary has
+    as many blank bytes, so that an ordinary window compresses to the same length under both.
     """
 
     ordinary: bytes
@@ -92,7 +97,7 @@ class Scorer:
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=2 * WINDOW, dict_size=len(content), min_match=5, write_content_size=0, write_dict_id=0, write_checksum=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=2 * WINDOW, dict_size=len(content), min_match=PIECE, write_content_size=0, write_dict_id=0, write_checksum=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT)
         d.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=how)
@@ -121,96 +126,103 @@ def _scorer(ordinary: bytes, toxic: bytes) -> Scorer:
     return Scorer(ordinary, toxic)
 
 
-def _words(text: str) -> list[str]:
-    return text.lower().encode("utf-8", "replace").translate(_BLANK).decode("utf-8", "replace").split()
-
-
-def _prefixes(text: str) -> set[str]:
-    """All beginnings, of four letters or more, of the words of the text."""
-    return {w[:k] for w in set(_words(text)) for k in range(4, min(len(w), 24) + 1)}
-
+def fresh_words(texts: list[str]) -> list[bytes]:
+    """The texts without words that stand beside a neighbour they had before, here or in an earlier text.
 
-def _pieces(word: str) -> set[bytes]:
-    """The runs of LEAST_MATCH bytes of a word after a space, or all of it if it is shorter."""
-    data = b" " + word.encode("utf-8", "replace")
-    return {data[i : i + LEAST_MATCH] for i in range(len(data) - LEAST_MATCH + 1)} | {data[:LEAST_MATCH]}
+    Of copies and of passages that documents share only the first is left, while a word that many
+    documents use, each in its own sentence, stays in all of them.
+    """
+    split = [t.lower().encode("utf-8", "replace").translate(_BLANK).split() for t in texts]
+    sizes = np.array([len(words) for words in split], np.int64)
+    ends = np.cumsum(sizes)
+    own = np.fromiter((crc32(w) for words in split for w in words), np.uint64, int(sizes.sum()))
+    left, right = np.roll(own, 1), np.roll(own, -1)
+    left[(ends - sizes)[sizes > 0]] = right[ends[sizes > 0] - 1] = 1 << 32  # no word hashes to it
+    fresh = np.ones(len(own), bool)
+    for pair in (left * np.uint64(0x9E3779B97F4A7C15) + own, own * np.uint64(0x9E3779B97F4A7C15) + right):
+        first = np.zeros(len(own), bool)
+        first[np.unique(pair, return_index=True)[1]] = True
+        fresh &= first
+    return [b" " + b" ".join(w for w, keep in zip(words, fresh[end - n : end]) if keep) + b" " for words, n, end in zip(split, sizes, ends)]
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary that zstandard trains on the samples, repeated where there are too few for it."""
+    samples = [s for s in samples if s.strip()]
+    if not samples:
+        return b""
+    return zstandard.train_dictionary(size, samples * max(1, -(-400 // len(samples))), level=LEVEL).as_bytes()
+
+
+def _cut(data: bytes) -> list[bytes]:
+    return [data[at : at + WINDOW] for at in range(0, len(data), WINDOW)]
+
+
+def _runs(data: bytes) -> np.ndarray:
+    """Every run of PIECE bytes as a number."""
+    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = max(0, len(raw) - PIECE + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(PIECE):
+        out = (out << np.uint64(8)) | raw[i : i + n]
+    return out
 
 
-def toxic_segments(toxic: list[str], ordinary: list[str], share: float = 0.02, stray: float = 0.001) -> list[str]:
-    """Word beginnings that occur in a share of the toxic documents and hardly in ordinary ones.
+def contrast(dictionary: bytes, toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The segments of a dictionary, trained on toxic text, that ordinary text hasn't.
 
-    Near copies count once (documents with the same least word hash), and a beginning counts at most as
-    often as different words stand before it and after it, else copies and shared passages would bring their own words
-    in. A beginning with a run of bytes that is at home in ordinary text would save bytes there, so it is
-    left out, and so is one that chance could have brought together (a bound on the Poisson tail). Of beginnings with about the same documents the longest stays.
+    A piece stays if it is in more of the toxic texts than chance could bring there at the rate of the
+    ordinary ones (a bound on the Poisson tail), and in hardly any of those. Segments are
+    joined pieces; what isn't in one would save bytes in windows of either class.
     """
-    seen: set[int] = set()
-    in_toxic: Counter[str] = Counter()
-    for text in toxic:
-        key = min((crc32(w.encode()) for w in _words(text) if len(w) > 5), default=crc32(text.encode("utf-8", "replace")))
-        if key not in seen:
-            seen.add(key)
-            in_toxic.update(_prefixes(text))
-    least = max(3, share * len(seen))
-    beginnings = len(in_toxic)
-    in_toxic = Counter({p: n for p, n in in_toxic.items() if n >= least})
-    before: dict[str, set[int]] = {p: set() for p in in_toxic}
-    after: dict[str, set[int]] = {p: set() for p in in_toxic}
-    for text in toxic:
-        words = _words(text)
-        for left, word, right in zip(["", *words], words, [*words[1:], ""]):
-            for k in range(4, min(len(word), 24) + 1):
-                if word[:k] in before:
-                    before[word[:k]].add(crc32(left.encode("utf-8", "replace")))
-                    after[word[:k]].add(crc32(right.encode("utf-8", "replace")))
-    often = {p: m for p, n in in_toxic.items() if (m := min(n, len(before[p]), len(after[p]))) >= least}
-    pieces = {p: _pieces(p) for p in often}
-    wanted = set().union(*pieces.values())
-    of_word: dict[str, frozenset[bytes]] = {}
-    none: frozenset[bytes] = frozenset()
-    in_ordinary: Counter[bytes] = Counter()
-    for text in ordinary:
-        here: set[bytes] = set()
-        for w in set(_words(text)):
-            if w not in of_word:
-                data = b" " + w.encode("utf-8", "replace")
-                of_word[w] = frozenset(x for i in range(len(data)) for j in range(i + 5, min(len(data), i + LEAST_MATCH) + 1) if (x := data[i:j]) in wanted) or none
-            here |= of_word[w]
-        in_ordinary.update(here)
-    good = {}
-    for p, n in often.items():
-        strays = max(in_ordinary[x] for x in pieces[p])
-        chance = (strays + 1) * len(seen) / max(1, len(ordinary))
-        if strays <= stray * len(ordinary) and n > chance and n * math.log(n / chance) - n + chance >= math.log(beginnings) + SURE:
-            good[p] = n
-    kept = [p for p, n in good.items() if not any(good.get(q, 0) >= 0.8 * n for q in good if len(q) > len(p) and q.startswith(p))]
-    # a longer beginning within a kept shorter one adds nothing
-    return sorted((p for p in kept if not any(p != q and p.startswith(q) for q in kept)), key=lambda p: (good[p], p))
+    runs = _runs(dictionary)
+    pieces = np.unique(runs)
+
+    def count(texts: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(pieces), np.int64)
+        for text in texts:
+            here = np.unique(_runs(text))
+            at = np.minimum(np.searchsorted(pieces, here), len(pieces) - 1)
+            out[at[pieces[at] == here]] += 1
+        return out
+
+    if not len(pieces):
+        return []
+    n, strays = count(toxic), count(ordinary)
+    chance = (strays + 1) * len(toxic) / max(1, len(ordinary))
+    good = (n > chance) & (strays <= STRAY * len(ordinary)) & (n * np.log(np.maximum(n, 1) / chance) - n + chance >= math.log(len(pieces)) + SURE)
+    keep = np.zeros(len(dictionary) + 1, bool)
+    for i in np.flatnonzero(good[np.searchsorted(pieces, runs)]):
+        keep[i : i + PIECE] = True
+    edges = np.flatnonzero(np.diff(keep.astype(np.int8), prepend=0)).reshape(-1, 2)
+    return sorted({dictionary[a:b] for a, b in edges})
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """A model of labelled texts: two thirds train the dictionaries, one third sets the threshold.
+    """A model of labelled texts: two thirds of each class train its dictionary, the last third of both sets the threshold.
 
-    None where either class is empty or toxic text has no segment of its own.
+    The threshold lies midway between the highest score that FALSE_ALARMS leaves to ordinary texts and the
+    next of toxic ones. None where a class has fewer than two texts or toxic text no segment of its own.
     """
     toxic, ordinary = ([t for t in texts if t and t.strip()] for texts in (toxic, ordinary))
-    fit_toxic, fit_ordinary = ([t for i, t in enumerate(x) if i % 3 or len(x) < 30] for x in (toxic, ordinary))
-    held = ordinary[::3]
-    segments = toxic_segments(fit_toxic, fit_ordinary) if fit_toxic and fit_ordinary else []
+    fit_toxic, fit_ordinary = ([t for i, t in enumerate(x) if i % 3] for x in (toxic, ordinary))
+    fresh_toxic, fresh_ordinary = fresh_words(fit_toxic), fresh_words(fit_ordinary)
+    own_toxic = trained([c for t in fresh_toxic for c in _cut(t)], DICTIONARY) if fit_toxic and fit_ordinary else b""
+    segments = contrast(own_toxic, fresh_toxic, fresh_ordinary)
     if not segments:
         return None
-    samples = sorted((w for t in fit_ordinary for w in windows(t)), key=crc32)[:DICTIONARY_WINDOWS]
-    samples *= max(1, -(-400 // len(samples)))
-    base = zstandard.train_dictionary(DICTIONARY if sum(map(len, samples)) > 20 * DICTIONARY else 512, samples, level=LEVEL).as_bytes()
-    own = b"".join(b" " + s.encode() for s in segments) + b" "
+    base = trained([w for t in fit_ordinary for w in windows(t)], BASE)
+    own = b"\0".join(segments) + b"\0"
     ordinary_part, toxic_part = base + b"\0" * len(own), base + own
-    scores = [_scorer(ordinary_part, toxic_part).gains(t) for t in held]
-    every = [LEAST_GAIN, *(g for x in scores for g in x)]  # as if one more window gained, so that the rate is finite
+    scorer = _scorer(ordinary_part, toxic_part)
+    gains = [[scorer.gains(t) for t in x[::3]] for x in (toxic, ordinary)]
+    every = [LEAST_GAIN, *(g for x in gains[1] for g in x)]  # as if one more window gained, so that the rate is finite
     drift = DRIFT * sum(g for g in every if g >= LEAST_GAIN) / len(every)
-    model = Model(ordinary_part, toxic_part, 0.0, tuple(s.encode() for s in segments), drift, chance_rate(every, drift))
-    excess = sorted(map(model.excess, scores))
-    allowed = excess[max(0, len(excess) - 1 - int(FALSE_ALARMS * len(excess)))] if excess else 0.0
-    return replace(model, threshold=max(allowed, 1.5 * LEAST_GAIN))
+    model = Model(ordinary_part, toxic_part, 0.0, tuple(segments), drift, chance_rate(every, drift))
+    bad, fine = (sorted(map(model.excess, x)) for x in gains)
+    allowed = max(1.5 * LEAST_GAIN, fine[len(fine) - 1 - int(FALSE_ALARMS * len(fine))])
+    above = next((x for x in bad if x > allowed), allowed)
+    return replace(model, threshold=(allowed + above) / 2)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[str]]:
@@ -256,7 +268,12 @@ def _verdict(model: Model, text: str | None) -> tuple[int, int, int, int, bool]:
 
 
 def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs that aren't toxic, with all their columns as they are."""
+    """The rows of docs that aren't toxic, with all their columns as they are.
+
+    Rows with a null or empty text stay, so do all rows where there's no model. Null and repeated ids play
+    no part: each row is judged by its own text, of any length, so equal rows go or stay together. An
+    empty table stays empty. Other columns may have any name.
+    """
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,7 +70,7 @@ def test_toxicity_on_held_out_documents(spark):
     rows, labels = _labelled(random.Random(5), 900)
     fresh, truth = _labelled(random.Random(6), 400)
     train = toxicity.train(*toxicity.labelled_sample(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")))
-    assert train is not None and any(s.startswith(b"moron") for s in train.segments)
+    assert train is not None and any(b"moronix" in s for s in train.segments)
     got = {r.doc_id: r for r in toxicity.score_documents(docs(spark, fresh), train).collect()}
     caught = [got[i].is_toxic for i, y in truth if y]
     alarms = [got[i].is_toxic for i, y in truth if not y]
@@ -114,7 +114,36 @@ def test_copies_and_shared_passages_bring_no_segments_in():
     passage = "zyqqor blentavik " + prose(rng, 60)
     ordinary = [prose(rng, 100) for _ in range(300)]
     toxic = [prose(rng, 40) + " " + passage + " " + prose(rng, 40) for _ in range(60)]
-    assert not any(s.startswith(("zyqq", "blent")) for s in toxicity.toxic_segments(toxic, ordinary))
+    assert toxicity.train(toxic, ordinary) is None  # nothing else tells them apart
+    for t in range(len(toxic)):
+        toxic[t] = toxic[t].replace(" ", f" vilescum{t % 3} ", 5)
+    model = toxicity.train(toxic, ordinary)
+    assert model and any(b"vilescum" in s for s in model.segments)
+    assert not any(w in s for s in model.segments for w in (b"zyqqor", b"blentavik"))
+
+
+def test_fresh_words_keep_one_of_each_passage():
+    assert toxicity.fresh_words(["one two three", "one two three", "", "a two b"]) == [b" one two three ", b"  ", b"  ", b" a two b "]
+
+
+def test_both_classes_train_a_dictionary_of_any_few_texts():
+    assert toxicity.train(["vile scum here"] * 2, ["plain words here"] * 2) is None
+    assert len(toxicity.trained([b" some words of text "], 8192)) > 0 and toxicity.trained([], 8192) == b""
+
+
+def test_toxicity_of_labels_never_used_to_choose_anything():
+    """A fifth of the labels at sf0.1, set apart by hash while the method was worked out."""
+    import pandas as pd
+    from zlib import crc32
+
+    sf = "/root/testdata/sf0.1"
+    d = pd.read_parquet(f"{sf}/documents.parquet").merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id").dropna(subset=["text"])
+    apart = pd.Series([crc32(b"split%d" % i) % 5 == 0 for i in d.doc_id], index=d.index)
+    fit, held = d[~apart], d[apart]
+    model = toxicity.train(list(fit[fit.toxic == 1].text), list(fit[fit.toxic == 0].text))
+    found = np.array([toxicity._verdict(model, t)[4] for t in held.text])
+    toxic = (held.toxic == 1).to_numpy()
+    assert found[toxic].mean() > 0.4 and found[~toxic].mean() < 0.01  # the other toxic labels are on texts with no toxic word
 
 
 @pytest.mark.parametrize(
