@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +36,7 @@ _INVISIBLE = re.compile("[­​-‍⁠﻿]+")
 #: The forms of at and dot; a name part before an at, and domain parts after it.
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|@)"
 _POINT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
 _ADDRESS = re.compile(rf"(?<![^\W_])[A-Za-z0-9](?:[\w+\-.]{{0,62}}[A-Za-z0-9])?({_AT})[A-Za-z0-9\-]+(?:{_POINT}[A-Za-z0-9\-]+)*{_POINT}[A-Za-z]{{2,}}(?![^\W_])", re.I)
 _DOT = re.compile(_POINT, re.I)
 Rewrite = tuple[int, int, str]
@@ -90,13 +90,24 @@ def _plain(text: str) -> bool:
     return "\xa0" not in text and "\xad" not in text
 
 
+def _bracketed(text: str) -> list[Rewrite]:
+    """Bracketed forms of at and dot with the white space around them."""
+    out: list[Rewrite] = []
+    for m in _BRACKETED.finditer(text):
+        start, floor = m.start(), out[-1][1] if out else 0
+        while start > floor and text[start - 1].isspace():
+            start -= 1
+        out.append((start, m.end(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])))
+    return out
+
+
 def normalise(text: str) -> Mapped:
     """The text without disguises: look-alikes, invisible characters, spelled digits, and at and dot in words."""
     plain = _plain(text)
     out = Mapped(text if plain else text.translate(HOMOGLYPHS))
     if not plain:
         out.rewrite([(m.start(), m.end(), "") for m in _INVISIBLE.finditer(out.text)])
-    edits = [(m.start(), m.end(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in _BRACKETED.finditer(out.text)] if any(c in out.text for c in "[({<") else []
+    edits = _bracketed(out.text) if any(c in out.text for c in "[({<") else []
     words = set(out.text.encode("utf-8", "replace").translate(_JOINS).lower().split())
     if (b"dot" in words or edits) and (b"at" in words or "@" in out.text):
         held = {e[:2] for e in edits}
@@ -119,7 +130,9 @@ _IPV4 = re.compile(r"\d(?<![\w.].)\d{0,2}(?:\.\d{1,3}){3}(?!\w|\.\d)")
 _NUMBER = re.compile(r"[+(\d](?<![\w.].)(?:(?<=\d)|(?<=\+)\(?\d|(?<=\()\d)(?:[ .()\-]{0,2}\d){6,18}(?!\w|\.\d)")
 _SPACED = re.compile(r"[+(\d](?<![\w.].)(?:(?<=\d)|(?<=\+)\(?\d|(?<=\()\d)(?:(?:\)? - |[ .()\-]{0,2})\d){6,18}(?!\w|\.\d)")
 _KEYS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([^\s\"'%&$*#!|]{8,})[\"']?")
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([^\s\"']{8,})[\"']?")
+#: What isn't the value of a secret: runs of one symbol, or no letter or digit at all.
+_JUNK = re.compile(r"([^\w\s])\1\1|^[\W_]+$")
 _SSN = re.compile(r"\d(?<![\w\-].)\d{2}-\d{2}-\d{4}(?![\w\-])")
 _IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9].)[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _HAS_DIGIT = re.compile(r"\d")
@@ -140,7 +153,7 @@ def _number_kind(found: str) -> str | None:
     if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", found):
         return None  # a version, or an address out of range
     if re.fullmatch(r"[\d ]+|[\d\-]+", found) and 13 <= len(digits) <= 19:
-        return "card" if _luhn(digits) else "account"
+        return "card" if _luhn(digits) else None  # a number of that length that fails its check digit is no identifier
     if 7 <= len(digits) <= 15 and (found[0] in "+(" or re.search(r"\d[ .()\-]+\d", found) or len(digits) in (10, 11)):
         groups = re.findall(r"\d+", found)
         if found[0] == "+" or found[0] == "(" or len(groups) == 1 or all(2 <= len(g) <= 5 for g in groups[1:]) and len(groups) <= 5 and len(groups[0]) <= 4:
@@ -160,14 +173,22 @@ def _spaced_kind(found: str) -> str | None:
 
 
 def _numbers(t: str) -> list[tuple[int, int, str]]:
-    """Cards, accounts and phones. One with " - " inside stands for the only other number that it holds, but not for several."""
+    """Cards and phones. One with " - " inside stands for the only other number that it holds, but not for several."""
     hits = [(*m.span(), kind) for m in _NUMBER.finditer(t) if (kind := _number_kind(m[0]))]
-    for m in _SPACED.finditer(t) if " - " in t else ():
-        if " - " in m[0] and (kind := _spaced_kind(m[0])):
-            inside = [h for h in hits if h[0] < m.end() and m.start() < h[1]]
-            if len(inside) < 2:
-                hits = [h for h in hits if h not in inside] + [(*m.span(), kind)]
-    return hits
+    if " - " not in t:
+        return hits
+    out, at = [], 0
+    for m in _SPACED.finditer(t):
+        while at < len(hits) and hits[at][1] <= m.start():
+            out.append(hits[at])
+            at += 1
+        end = at
+        while end < len(hits) and hits[end][0] < m.end():
+            end += 1
+        if end - at < 2 and " - " in m[0] and (kind := _spaced_kind(m[0])):
+            out.append((*m.span(), kind))
+            at = end
+    return out + hits[at:]
 
 
 def find(text: str | None) -> list[tuple[str, int, int, str]]:
@@ -180,7 +201,7 @@ def find(text: str | None) -> list[tuple[str, int, int, str]]:
     if "@" in t:
         hits += [(*m.span(), "email") for m in _EMAIL.finditer(t)]
     if ("=" in t or ":" in t) and any(w in t.lower() for w in ("passw", "pwd", "token", "secret", "key")):
-        hits += [(*m.span(1), "secret") for m in _ASSIGNED.finditer(t)]
+        hits += [(*m.span(1), "secret") for m in _ASSIGNED.finditer(t) if not _JUNK.search(m[1])]
     if _HAS_DIGIT.search(t):
         if "AKIA" in t or "ASIA" in t or "gh" in t:
             hits += [(*m.span(), "secret") for m in _KEYS.finditer(t)]
@@ -188,12 +209,12 @@ def find(text: str | None) -> list[tuple[str, int, int, str]]:
         hits += [(*m.span(), "ip") for m in _IPV4.finditer(t) if all(int(x) < 256 for x in m[0].split("."))]
         hits += [(*m.span(), "ssn") for m in _SSN.finditer(t)]
         hits += _numbers(t)
-    out, taken = [], []
-    for start, end, kind in hits:
-        if all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end))
-            out.append((kind, *view.source(start, end), t[start:end]))
-    return sorted(out, key=lambda h: (h[1], h[2]))
+    out: list[tuple[int, int, str]] = []  # disjoint, in order
+    for hit in hits:
+        at = bisect_left(out, hit)
+        if (not at or out[at - 1][1] <= hit[0]) and (at == len(out) or hit[1] <= out[at][0]):
+            out.insert(at, hit)
+    return sorted(((kind, *view.source(start, end), t[start:end]) for start, end, kind in out), key=lambda h: (h[1], h[2]))
 
 
 def redact(text: str | None) -> str | None:
@@ -214,7 +235,7 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
     start and end count characters (code points) of the source text, source is that part of it, value
     what it says without disguise. Kinds: email, secret, iban, ip, ssn, card (digits that pass the Luhn
-    test), account (other numbers of 13 to 19 digits), phone. Where finds overlap the kind named first
+    test; other long numbers are none), phone. Where finds overlap the kind named first
     has the characters. Null and empty texts have none; a null or repeated doc_id is carried for each
     of its rows. Texts of any length are searched whole. Other columns aren't looked at.
     """
@@ -231,9 +252,12 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs with identifiers in text replaced; other columns are as they were.
+    """The rows of docs with identifiers in text replaced; other columns, of any name, are as they were.
 
-    n_chars, where docs has it as an integer column, counts the new text if it counted the old one.
+    n_chars, where docs has it as an integer column, counts the new text if it counted the old one. A row
+    gives a row: null and repeated ids play no part, equal texts are redacted alike. Null, empty and clean texts
+    stay as they are. Texts of any length are searched whole, in time that grows in proportion. An empty
+    table stays empty.
     """
     names = docs.columns
     at = names.index("text")

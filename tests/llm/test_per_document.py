@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -187,7 +188,28 @@ def test_mixed_disguises_and_wide_gaps(source, kind, value):
     assert pii.redact(text) == text.replace(source, f"[{kind.upper()}]")
 
 
-@pytest.mark.parametrize("text", ["from 1990 - 1995", "3000 - 5000 of them", "2024 - 05 - 17", "look at example.org (see below)", "a dot at example.org"])
+@pytest.mark.parametrize(
+    "text",
+    ["x" + " " * 500_000 + "(at)" + " " * 500_000 + "dot", "[" + " " * 1_000_000 + "at", "at dot " + "a." * 500_000, "x at " + "a." * 500_000 + " dot ", "ab@cd.org " * 100_000, "555-123 - 4567 " * 60_000, "one-" * 250_000 + "onex", "password " * 100_000 + ":", "(" * 1_000_000 + "at)", "a-" * 500_000 + " dot at"],
+    ids=lambda t: t[:12],
+)
+def test_a_long_text_takes_time_in_proportion(text):
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 10  # seconds a million characters; what isn't linear takes hours
+
+
+def test_overlapping_finds_go_to_the_first_kind():
+    text = "a.4111111111111111@b.org and 4111111111111111 token=4111111111111111"
+    assert [(k, text[s:e]) for k, s, e, _ in pii.find(text)] == [("email", "a.4111111111111111@b.org"), ("card", "4111111111111111"), ("secret", "4111111111111111")]
+
+
+@pytest.mark.parametrize(("text", "value"), [("pwd: Tr0ub4dor&3xyz end", "Tr0ub4dor&3xyz"), ("password = S3cret!pass", "S3cret!pass"), ('api_key="abc$def%ghi"', "abc$def%ghi")])
+def test_secrets_hold_any_symbol(text, value):
+    assert [v for *_, v in pii.find(text)] == [value]
+
+
+@pytest.mark.parametrize("text", ["from 1990 - 1995", "no. 7086638319846192 of", "token: $$$$$$$$$$ the", "key = the&&&&&& and", "3000 - 5000 of them", "2024 - 05 - 17", "look at example.org (see below)", "a dot at example.org"])
 def test_ranges_and_plain_domains_have_no_identifiers(text):
     assert pii.find(text) == []
 
@@ -210,6 +232,49 @@ def test_spans_are_ordered_disjoint_and_inside(text):
         at = e
 
 
+def _identifier(rng):
+    """(source, kind, value): an identifier in one of its disguises."""
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    spelled = dict(zip("0123456789", "zero one two three four five six seven eight nine".split()))
+    kind = rng.choice(["email", "ip", "card", "phone", "secret"])
+    if kind == "email":
+        name, host, end = f"{rng.choice(['ann', 'joe'])}{number(2)}", rng.choice(["mail", "corp"]), rng.choice(["org", "com"])
+        value = f"{name}@{host}.{end}"
+        at, dot = rng.choice([("@", "."), (" at ", " dot "), (" (at) ", " [dot] "), ("@", " dot "), ("[at]", "."), ("@", "(dot)")])
+        source = f"{name}{at}{host}{dot}{end}"
+        if rng.random() < 0.3:
+            source = source.translate({ord("o"): "о", ord("e"): "е"})
+        if rng.random() < 0.3:
+            source = source[:1] + "\u200b" + source[1:]
+        return source, kind, value
+    if kind == "ip":
+        value = ".".join(str(rng.randrange(256)) for _ in range(4))
+        return value, kind, value
+    if kind == "card":
+        value = next(v for v in iter(lambda: "4" + number(15), None) if pii._luhn(v))
+        return (value.translate({48 + d: 0xFF10 + d for d in range(10)}) if rng.random() < 0.3 else value), kind, value
+    if kind == "phone":
+        value = "555" + number(7)
+        return rng.choice([value, " ".join(map(spelled.get, value))]), kind, value
+    value = "".join(rng.choice("abcdef0123456789") for _ in range(40))
+    return value, kind, value
+
+
+def test_planted_identifiers_are_all_found_and_nothing_else():
+    rng = random.Random(17)
+    pool = ["the", "river", "and", "stone", "walks", "over,", "hill.", "quiet", "Ярмарка", "größe", "número"]
+    for _ in range(400):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 8)):
+            text += " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) + "; "
+            if rng.random() < 0.7:
+                source, kind, value = _identifier(rng)
+                text += "token: " if kind == "secret" else ""
+                want.append((kind, len(text), len(text) + len(source), value))
+                text += source + " ; "
+        assert pii.find(text) == want, text
+
+
 def test_identifiers_on_awkward_rows(spark):
     rows = [*AWKWARD, (8, LONG + "x@y.org", "a"), (8, LONG + "x@y.org", "a"), (None, "x@y.org", "a")]
     found = pii.identifiers(docs(spark, rows)).collect()
