@@ -14,6 +14,8 @@ from loomtext.llm.common import table
 
 #: Most labelled URLs of each class that the trees are fitted to, the ones with the lowest hash.
 PER_CLASS = 20_000
+#: Parts of the hosts, each of which is scored by trees of the others when the threshold is set.
+FOLDS = 3
 #: The thresholds to choose from.
 GRID = np.linspace(0.05, 0.95, 91)
 #: Registered names whose pages are labelled as unwanted where a table has no labels of its own.
@@ -124,6 +126,9 @@ class Model:
     suffixes: dict[str, tuple[float, float]]
     prior: float
     threshold: float
+    #: On hosts that the trees never saw; None where there was no measuring them.
+    precision: float | None = None
+    recall: float | None = None
 
     def features(self, x: np.ndarray, suffix: list[str]) -> np.ndarray:
         known = [self.suffixes.get(s, (self.prior, 0.0)) for s in suffix]
@@ -149,15 +154,18 @@ def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.column_stack([np.nan_to_num(np.asarray(batch.column(c).fill_null(0))) for c in range(first, batch.num_columns)])
 
 
-def reached(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """How many unwanted and wanted rows (__label, __suffix, features) reach each number of thresholds of GRID."""
+def reached(rows: DataFrame, models: list[Model | None]) -> tuple[np.ndarray, np.ndarray]:
+    """How many unwanted and wanted rows (__label, __fold, __suffix, features) reach each number of thresholds of GRID, each by the model of its fold, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((2, len(GRID) + 1), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                p = model.trees.probabilities(model.features(_matrix(batch, 2), batch.column(1).to_pylist()))
-                np.add.at(out, (np.asarray(batch.column(0)), np.searchsorted(GRID, p, "right")), 1)
+            folds = np.asarray(batch.column(1))
+            for fold, model in enumerate(models):
+                if model is not None and (folds == fold).any():
+                    own = batch.filter(pa.array(folds == fold))
+                    p = model.trees.probabilities(model.features(_matrix(own, 3), own.column(2).to_pylist()))
+                    np.add.at(out, (np.asarray(own.column(0)), np.searchsorted(GRID, p, "right")), 1)
         label, at = np.nonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(at), pa.array(out[label, at])], names=["label", "at", "n"])
 
@@ -170,29 +178,44 @@ def reached(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """A model of labelled URLs (url, label 0 or 1); None if a class is empty.
 
-    Two thirds of the URLs, by hash, fit it; all others set the threshold (best F1 at the class sizes of
-    the table), unless a class has fewer than 30: then all do both. The trees are fitted to at most
-    per_class of each class, which weigh alike; everything else counts every labelled URL, and in the end
-    the suffixes those of both parts. The driver holds a row for each suffix.
+    Hosts fall into FOLDS parts by hash. For each part trees are fitted to the others, so that the threshold
+    (best F1 at the class sizes of the table) and the precision and recall at it come from URLs of hosts
+    that their trees never saw; the model itself is then fitted to all parts. A part whose others lack
+    a class doesn't count for the threshold, which is 0.5 if none counts. Trees are fitted to at most
+    per_class URLs of each class, which weigh alike; all else counts every labelled URL. The driver holds
+    a row for each suffix.
     """
     known = labelled.where("url IS NOT NULL AND trim(url) <> '' AND label IN (0, 1)").select(F.col("url").alias("__url"), F.col("label").cast("int").alias("__label"))
-    known = known.withColumn("__held", F.pmod(F.xxhash64(F.lit("held"), "__url"), F.lit(3)) == 0)
-    parts: list[dict[str, tuple[int, int]]] = [{}, {}]
-    for r in lexical_features(known).groupBy("__suffix", "__held").agg(F.sum("__label").alias("bad"), F.count("*").alias("n")).collect():
-        parts[r["__held"]][r["__suffix"]] = (r.bad, r.n)
-    every = {s: tuple(map(sum, zip(*(c.get(s, (0, 0)) for c in parts)))) for s in parts[0].keys() | parts[1].keys()}
-    bad, n = (sum(c[i] for c in every.values()) for i in (0, 1))
-    if not 0 < bad < n:
-        return None
-    fit, held, counts = (known, known, every) if min(bad, n - bad) < 30 else (known.where("NOT __held"), known.where("__held"), parts[0])
-    chosen = [fit.where(F.col("__label") == c).orderBy(F.xxhash64("__url"), "__url").limit(per_class) for c in (0, 1)]
-    columns = ("__label", "__suffix", *FEATURES[:-2])
-    rows = lexical_features(chosen[0].union(chosen[1])).select(*columns).collect()
-    model = Model(Trees(), *suffix_statistics(counts), 0.5)
-    x = np.array([list(r[2:]) for r in rows], float).reshape(-1, len(FEATURES) - 2)
-    model.trees = fit_trees(model.features(x, [r[1] for r in rows]), np.array([r[0] for r in rows], int))
-    model.threshold = best_threshold(*reached(lexical_features(held).select(*columns), model))
-    model.suffixes, model.prior = suffix_statistics(every)
+    known = lexical_features(known).withColumn("__fold", F.pmod(F.xxhash64("__host"), F.lit(FOLDS)).cast("int"))
+    parts: list[dict[str, tuple[int, int]]] = [{} for _ in range(FOLDS)]
+    for r in known.groupBy("__suffix", "__fold").agg(F.sum("__label").alias("bad"), F.count("*").alias("n")).collect():
+        parts[r["__fold"]][r["__suffix"]] = (r.bad, r.n)
+    columns = ("__label", "__fold", "__suffix", *FEATURES[:-2])
+    chosen = [known.where(F.col("__label") == c).orderBy(F.xxhash64("__url"), "__url").limit(per_class).select(*columns) for c in (0, 1)]
+    rows = chosen[0].union(chosen[1]).collect()
+    y, folds, suffixes = (np.array([r[i] for r in rows], kind) for i, kind in ((0, int), (1, int), (2, object)))
+    x = np.array([list(r[3:]) for r in rows], float).reshape(-1, len(FEATURES) - 2)
+
+    def fitted(use: np.ndarray, without: int = -1) -> Model | None:
+        if len(np.unique(y[use])) < 2:
+            return None
+        counts: dict[str, tuple[int, int]] = {}
+        for fold, part in enumerate(parts):
+            for s, (bad, n) in part.items() if fold != without else ():
+                a, b = counts.get(s, (0, 0))
+                counts[s] = (a + bad, b + n)
+        model = Model(Trees(), *suffix_statistics(counts), 0.5)
+        model.trees = fit_trees(model.features(x[use], suffixes[use].tolist()), y[use])
+        return model
+
+    model = fitted(np.ones(len(y), bool))
+    if model is not None:
+        unwanted, wanted = reached(known.select(*columns), [fitted(folds != k, k) for k in range(FOLDS)])
+        if unwanted.any() and wanted.any():
+            model.threshold = best_threshold(unwanted, wanted)
+            at = int(np.searchsorted(GRID, model.threshold, "left")) + 1
+            hit, alarm = unwanted[at:].sum(), wanted[at:].sum()
+            model.precision, model.recall = float(hit / max(1, hit + alarm)), float(hit / unwanted.sum())
     return model
 
 

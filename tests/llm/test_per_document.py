@@ -321,6 +321,20 @@ def test_statistics_and_threshold_of_urls_count_all_rows_whatever_the_trees_are_
     assert url_filter.GRID[10] <= url_filter.best_threshold(n[1], n[0]) <= url_filter.GRID[79]
 
 
+def test_threshold_and_figures_come_from_hosts_the_trees_never_saw(spark):
+    rows = [(f"https://{'win-' if i % 3 == 0 else ''}h{i % 60}.org/{'9' * (i % 7) if i % 3 == 0 else 'abc'}?{'x=1&' * (5 * (i % 3 == 0))}", int(i % 3 == 0)) for i in range(1200)]
+    model = url_filter.train(spark.createDataFrame(rows, "url string, label int"))
+    assert model.precision > 0.95 and model.recall > 0.95
+    one = url_filter.train(spark.createDataFrame([(f"https://{h}.org/{i}", int(h == "bad")) for h in ("bad", "good") for i in range(40)], "url string, label int"))
+    assert one is not None and 0 < one.threshold < 1  # each class on one host: nothing to measure on others
+
+
+def test_url_filter_measured_on_unseen_hosts_of_the_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    model = url_filter.train(url_filter.label_by_name(pages))
+    assert model.precision > 0.85 and model.recall > 0.9  # six unwanted hosts of sixty
+
+
 def test_url_filter_finds_every_unwanted_name_of_the_pages(spark):
     rows = url_filter.query(spark, "/root/testdata/sf0.1").collect()
     for name in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x"):
