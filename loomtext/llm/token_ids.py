@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomtext.llm import bpe
-from loomtext.llm.common import slices, table
+from loomtext.llm.common import reread, slices, table
 
 #: Bytes of ids after which a shard is closed (a single longer document makes a longer shard).
 SHARD_BYTES = 4 << 20
+#: Entries of an index file; a block with more (one key may have a third of all rows) is cut into as many files as it takes.
+FILE_ENTRIES = 4_000_000
 #: Bits of the hash levels per key that is still to be placed.
 GAMMA = 2
 _HEAD = struct.Struct("<8sIIIII")
@@ -99,19 +103,21 @@ class IndexBlock:
         return [(int(self.shards[i]), int(self.offsets[i]), int(self.counts[i])) for i in range(self.starts[slot], self.starts[slot + 1])]
 
 
-def token_files(docs: DataFrame, blocks: int | None = None, vocab_path: str = bpe.VOCAB_PATH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def token_files(docs: DataFrame, blocks: int | None = None, vocab_path: str = bpe.VOCAB_PATH, shard_bytes: int = SHARD_BYTES, file_entries: int = FILE_ENTRIES) -> DataFrame:
     """The files of a token store, one row each: path, n_docs, n_tokens, content.
 
     ids/<shard>.bin holds the ids of its documents one after the other and nothing else, two bytes
-    each (four for a vocabulary over 65,536), little-endian. index/<block>.mph holds the index of the
-    keys that hash to the block, out of `blocks` (as many as shuffle partitions unless given).
+    each (four for a vocabulary over 65,536), little-endian. index/<block>-of-<blocks>-<part>.mph holds the
+    index of the keys that hash to the block, out of `blocks` (as many as shuffle partitions unless
+    given). A block has one part, but for one of over `file_entries` entries, which are spread over several by place.
 
-    Each text is encoded once; ids and index entries go through one shuffle, in which ids only pass.
-    A shard's name comes from its input partition, so a task that runs again makes the same file.
+    Each text is encoded once, into rows of ids and of index entries that are written to the shared folder.
+    Rows of ids are read from there as they are; only the entries, some forty bytes a document, are
+    shuffled. A shard's name comes from its input partition, so a task that runs again makes the same file.
 
     A null text has an entry with -1 ids, an empty one with 0. A repeated doc_id has all its places
     under one key, in the order of shards. A null doc_id has its ids stored but no entry. An empty
-    table has no id files and an empty index for each block that gets none of the keys is left out.
+    table has no id files; a block that gets no key has no index file.
     Texts of any length are encoded whole. Other columns aren't looked at.
     """
     spark = docs.sparkSession
@@ -153,42 +159,49 @@ def token_files(docs: DataFrame, blocks: int | None = None, vocab_path: str = bp
     out_schema = pa.schema([("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("content", pa.binary())])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for batch in batches:
-            is_entry = np.asarray(batch.column(2).is_valid())
-            rows = np.flatnonzero(is_entry)
-            if len(rows):
-                found.append(np.stack([np.asarray(batch.column(c))[rows] if c != 2 else np.asarray(batch.column(2).fill_null(0))[rows] for c in (0, 1, 2, 3, 5)]))
-            for i in np.flatnonzero(~is_entry):
-                shard = batch.column(1)[i].as_py()
-                row = [f"ids/{shard >> 24:06d}-{shard & 0xFFFFFF:06d}.bin", batch.column(4)[i].as_py(), batch.column(5)[i].as_py(), batch.column(6)[i].as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, out_schema.types)], schema=out_schema)
+        found = [np.stack([np.asarray(c) for c in batch.columns]) for batch in batches if batch.num_rows]
         if found:
-            route, shards, keys, offsets, counts = np.concatenate(found, axis=1)
-            for block in np.unique(route):
-                own = route == block
+            route, part, shards, keys, offsets, counts = np.concatenate(found, axis=1)
+            for block, nth in np.unique(np.stack([route, part]), axis=1).T:
+                own = (route == block) & (part == nth)
                 content = build_index(keys[own], shards[own], offsets[own], counts[own])
-                row = [f"index/{block:06d}-of-{blocks:06d}.mph", int(own.sum()), int(np.maximum(counts[own], 0).sum()), content]
+                row = [f"index/{block:06d}-of-{blocks:06d}-{nth:06d}.mph", int(own.sum()), int(np.maximum(counts[own], 0).sum()), content]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, out_schema.types)], schema=out_schema)
 
     narrow = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    rows = narrow.mapInArrow(encode, "route bigint, shard bigint, key bigint, offset bigint, n_docs bigint, n_tokens bigint, content binary")
-    return rows.repartition(blocks, "route").mapInArrow(index, "path string, n_docs bigint, n_tokens bigint, content binary")
+    rows = reread(narrow.mapInArrow(encode, "route bigint, shard bigint, key bigint, offset bigint, n_docs bigint, n_tokens bigint, content binary"), "token-ids")
+    name = F.format_string("ids/%06d-%06d.bin", F.shiftright("shard", 24), F.col("shard").bitwiseAND(0xFFFFFF))
+    payload = rows.where("key IS NULL").select(name.alias("path"), "n_docs", "n_tokens", "content")
+    entries = rows.where("key IS NOT NULL")
+    parts = {r.route: -(-r["count"] // file_entries) for r in entries.groupBy("route").count().collect()}  # a row for each block
+    parts = F.lit(json.dumps({r: n for r, n in parts.items() if n > 1}))
+    files = F.coalesce(F.element_at(F.from_json(parts, "map<string, bigint>"), F.col("route").cast("string")), F.lit(1))
+    part = F.pmod(F.xxhash64("shard", "offset"), files)
+    entries = entries.select("route", part.alias("part"), "shard", "key", "offset", "n_tokens").repartition(blocks, "route", "part")
+    return payload.union(entries.mapInArrow(index, "path string, n_docs bigint, n_tokens bigint, content binary"))
+
+
+def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder given by path or by URI, and its path there."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Write the rows of token_files under a folder that all executors share.
+    """Write the rows of token_files under a folder, a path or URI, that all executors share.
 
     Each file gets its name only when it is whole, so a task that is lost and runs again does no harm.
     """
 
     def write(rows) -> None:
+        there, base = _opened(folder)
         for row in rows:
-            path = Path(folder, row.path)
-            path.parent.mkdir(parents=True, exist_ok=True)
-            part = path.with_name(f".{path.name}.{TaskContext.get().taskAttemptId()}")
-            part.write_bytes(row.content)
-            os.replace(part, path)
+            path = f"{base}/{row.path}"
+            parent, _, name = path.rpartition("/")
+            there.create_dir(parent, recursive=True)
+            part = f"{parent}/.{name}.{TaskContext.get().taskAttemptId()}"
+            with there.open_output_stream(part) as out:
+                out.write(row.content)
+            there.move(part, path)
 
     files.foreachPartition(write)
 
@@ -197,25 +210,30 @@ class TokenStore:
     """Keyed reads from a folder that write_files wrote."""
 
     def __init__(self, folder: str, dtype: str = "<u2"):
-        self.folder, self.dtype = Path(folder), np.dtype(dtype)
-        self.index = {int(p.name[:6]): p for p in sorted((self.folder / "index").glob("*.mph"))} if (self.folder / "index").exists() else {}
-        self.blocks = int(next(iter(self.index.values())).stem.split("-of-")[1]) if self.index else 1
-        self._open: dict[int, IndexBlock] = {}
+        (self.there, self.base), self.dtype = _opened(folder), np.dtype(dtype)
+        names = self.there.get_file_info(fs.FileSelector(f"{self.base}/index", allow_not_found=True))
+        self.index: dict[int, list[str]] = {}
+        for x in sorted(names, key=lambda x: x.path):
+            if x.extension == "mph":
+                self.index.setdefault(int(x.base_name[:6]), []).append(x.path)
+        self.blocks = int(next(iter(self.index.values()))[0].rpartition("-of-")[2][:6]) if self.index else 1
+        self._open: dict[str, IndexBlock] = {}
+
+    def _block(self, path: str) -> IndexBlock:
+        if path not in self._open:
+            with self.there.open_input_file(path) as f:
+                self._open[path] = IndexBlock(f.read())
+        return self._open[path]
 
     def get(self, key: int) -> list[np.ndarray | None]:
         block = int(block_of(np.array([key], np.int64).view(np.uint64), self.blocks)[0])
-        if block not in self.index:
-            return []
-        if block not in self._open:
-            self._open[block] = IndexBlock(self.index[block].read_bytes())
         out: list[np.ndarray | None] = []
-        for shard, offset, n in self._open[block].find(key):
+        for shard, offset, n in (place for path in self.index.get(block, []) for place in self._block(path).find(key)):
             if n < 0:
                 out.append(None)
                 continue
-            with open(self.folder / "ids" / f"{shard >> 24:06d}-{shard & 0xFFFFFF:06d}.bin", "rb") as f:
-                f.seek(offset)
-                out.append(np.frombuffer(f.read(n * self.dtype.itemsize), self.dtype))
+            with self.there.open_input_file(f"{self.base}/ids/{shard >> 24:06d}-{shard & 0xFFFFFF:06d}.bin") as f:
+                out.append(np.frombuffer(f.read_at(n * self.dtype.itemsize, offset), self.dtype))
         return out
 
 

@@ -215,10 +215,11 @@ def test_hilbert_keys_are_a_walk_through_neighbouring_cells():
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_token_store_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("entries", [1000, 50])
+def test_token_store_round_trip(spark, tmp_path, entries):
     rng = random.Random(6)
-    rows = [*((rng.randrange(-(1 << 62), 1 << 62), prose(rng, rng.randrange(1, 300)), "s") for _ in range(400)), *AWKWARD]
-    token_ids.write_files(token_ids.token_files(docs(spark, rows), blocks=3, shard_bytes=20_000), str(tmp_path))
+    rows = [*((rng.randrange(-(1 << 62), 1 << 62), prose(rng, rng.randrange(1, 300)), "s") for _ in range(400)), *((77, f"copy {i}", "s") for i in range(200)), *AWKWARD]
+    token_ids.write_files(token_ids.token_files(docs(spark, rows), blocks=3, shard_bytes=20_000, file_entries=entries), str(tmp_path))
     store = token_ids.TokenStore(str(tmp_path))
     want = defaultdict(list)
     for i, t, _ in rows:
