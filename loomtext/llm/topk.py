@@ -1,4 +1,7 @@
-"""Operator 8: exact top-k inner products over vectors in descending order of length."""
+"""Operator 8: exact top-k inner products over vectors in descending order of length.
+
+The vectors of a stated query set meet all vectors, part by part of their order by length.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +9,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import durable, table
-from loomtext.llm.vectors import clean_vectors, matrix
+from loomtext.llm.vectors import clean_vectors, matrix, pack_rows
 
 K = 10
-#: Vectors in a block, the unit of comparison.
+#: Queries are the vectors whose ids this divides.
+EVERY = 50
+#: Vectors in a block, the unit of comparison, and of the head, the longest vectors, which every query meets first.
 BLOCK = 2048
+#: Bytes of vectors in a part of the order by length, and the most parts that there are (beyond that they get larger).
+PART_BYTES, MOST_PARTS = 8 << 20, 65_536
+#: Blocks of queries that meet a part in one task.
+QUERY_BLOCKS = 64
 #: Products are ranked as rounded to this many places, so that ties don't hang on the order of sums.
 PLACES = 9
 #: Above this share of pairs that the bound leaves open, a block is multiplied as a whole.
@@ -53,55 +63,67 @@ def _best(scores: np.ndarray, q: np.ndarray, ids: np.ndarray, n: int, k: int) ->
     return q[keep], ids[keep], scores[keep]
 
 
+def slack(query_lengths: np.ndarray | float, longest: np.ndarray | float) -> np.ndarray:
+    """What rounding may take from a bound."""
+    return 1e-5 * (1 + query_lengths * longest)
+
+
 class Running:
-    """The best k so far of each row of a block of queries."""
+    """The best k so far of each row of a block of queries; `floor` has what their k-th products are known to reach."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.x, self.k = ids, x, k
         self.q, self.found, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.least = np.full(len(ids), -np.inf)
+        self.known = np.full(len(ids), -np.inf) if floor is None else floor
+        self.least = self.known
         self.lengths = np.sqrt((x * x).sum(axis=1))
         self.products = 0
 
-    def _head(self, dims: int) -> int:
-        return max(1, dims // 4)
-
-    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
-        """Take a block of items into account: bound by length, then by partial sums, then exact products."""
-        lengths = np.sqrt((x * x).sum(axis=1))
-        slack = 1e-5 * (1 + self.lengths * lengths.max(initial=0))
-        if (self.lengths * lengths.max(initial=0) + slack < self.least).all():
-            return
-        h = self._head(x.shape[1])
-        rest_q = np.sqrt((self.x[:, h:] ** 2).sum(axis=1)).astype(np.float32)
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> bool:
+        """Take a block of items into account: bound by length, then by partial sums, then exact products.
+
+        False if lengths alone leave the block out; so they will any block of shorter vectors.
+        """
+        longest = float(np.sqrt((x * x).sum(axis=1)).max(initial=0))
+        room = slack(self.lengths, longest)
+        live = np.flatnonzero(self.lengths * longest + room >= self.least)
+        if not len(live):
+            return False
+        own, mine = self.x[live], self.ids[live]
+        h = max(1, x.shape[1] // 4)
+        rest_q = np.sqrt((own[:, h:] ** 2).sum(axis=1)).astype(np.float32)
         rest_x = np.sqrt((x[:, h:] ** 2).sum(axis=1)).astype(np.float32)
-        bound = self.x[:, :h].astype(np.float32) @ x[:, :h].astype(np.float32).T
+        bound = own[:, :h].astype(np.float32) @ x[:, :h].astype(np.float32).T
         bound += rest_q[:, None] * rest_x[None, :]
-        floor = (self.least - slack).astype(np.float32)
-        q, i = np.nonzero((bound >= floor[:, None]) & (self.ids[:, None] != ids[None, :]))
+        floor = (self.least - room)[live].astype(np.float32)
+        q, i = np.nonzero((bound >= floor[:, None]) & (mine[:, None] != ids[None, :]))
         if len(q) > DENSE * bound.size:  # whole-block product, then the same test with all dimensions
-            full = self.x.astype(np.float32) @ x.astype(np.float32).T
+            full = own.astype(np.float32) @ x.astype(np.float32).T
             if np.isneginf(self.least).any() and x.shape[0] > self.k:
-                part = np.where(self.ids[:, None] == ids[None, :], -np.inf, full)
+                part = np.where(mine[:, None] == ids[None, :], -np.inf, full)
                 kth = np.partition(part, -self.k, axis=1)[:, -self.k]
-                floor = np.maximum(floor, (kth - slack).astype(np.float32))
-            q, i = np.nonzero((full >= floor[:, None]) & (self.ids[:, None] != ids[None, :]))
+                floor = np.maximum(floor, (kth - room[live]).astype(np.float32))
+            q, i = np.nonzero((full >= floor[:, None]) & (mine[:, None] != ids[None, :]))
+        q = live[q]
         self.products += len(q)
         scores = np.concatenate([np.einsum("ij,ij->i", self.x[q[s : s + 65536]], x[i[s : s + 65536]]) for s in range(0, len(q), 65536)] or [np.zeros(0)])
         self.q, self.found, self.scores = _best(np.r_[self.scores, np.round(scores, PLACES) + 0.0], np.r_[self.q, q], np.r_[self.found, ids[i]], len(self.ids), self.k)
         full_rows = np.bincount(self.q, minlength=len(self.ids)) >= self.k
         last = np.searchsorted(self.q, np.arange(len(self.ids)), "right") - 1
-        self.least = np.where(full_rows, self.scores[np.maximum(last, 0)] if len(self.scores) else -np.inf, -np.inf)
+        now = np.where(full_rows, self.scores[np.maximum(last, 0)] if len(self.scores) else -np.inf, -np.inf)
+        self.least = np.maximum(self.known, now)
+        return True
 
 
-def top_products(vecs: DataFrame, k: int = K) -> DataFrame:
-    """For every vector the k others with the largest inner products: vec_id, rank, other_id, score.
+def top_products(vecs: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
+    """For the vectors whose ids `every` divides, the k others with the largest inner products: vec_id, rank, other_id, score.
 
     The result is exact. Vectors are rotated to the right singular vectors of the table, so that most of
-    a product comes from the first coordinates, and cut into blocks in descending order of length. Each
-    pair of blocks meets once, queries staying while items pass by descending length: a block is left
-    out where lengths alone bound it below a query's k-th product so far, a pair where the partial sum
-    and the Cauchy-Schwarz bound of the residuals do.
+    a product comes from the first coordinates, and cut into parts in descending order of length. Each
+    query first meets the BLOCK longest vectors, which gives a floor to its k-th product and so the last
+    part that can hold a better one by length; blocks of queries are joined to just those parts. There items
+    pass by descending length: the rest of a part is left out where lengths alone bound it below the k-th products so
+    far, a pair where the partial sum and the Cauchy-Schwarz bound of the residuals do.
 
     Products count as rounded to PLACES decimal places and ties go to the smaller id, so ranks don't
     depend on the order of sums. A vector isn't compared with itself, but with others that equal it. With
@@ -113,53 +135,65 @@ def top_products(vecs: DataFrame, k: int = K) -> DataFrame:
     clean, dims = clean_vectors(vecs)
     if not dims:
         return spark.createDataFrame([], out)
-    clean = durable(clean)
-    turn = spectral_rotation(clean, dims)
+    clean = durable(clean.withColumn("length", F.sqrt(F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)"))))
+    turn = spectral_rotation(clean.select("vec_id", "embedding"), dims)
     n = clean.count()
-    length = F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)")
-    parts = max(1, -(-n // (4 * BLOCK)))
+    parts = max(1, min(MOST_PARTS, -(-n * dims * 8 // PART_BYTES)))
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, xs, rows = [], [], 0
-
-        def whole() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([np.concatenate(xs).astype("<f8").tobytes()], pa.binary())], names=["ids", "x"])
+    head = clean.orderBy(F.desc("length"), "vec_id").limit(BLOCK).select("vec_id", "embedding").collect()
+    head_ids, head_x = np.array([r.vec_id for r in head], np.int64), np.array([r.embedding for r in head], np.float64).reshape(-1, dims) @ turn
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, xs = [], []
+        for batch in batches:
+            ids.append(np.asarray(batch.column(0)))
+            xs.append(matrix(batch.column(1), dims) @ turn)
+        if sum(map(len, ids)):
+            x = np.concatenate(xs)
+            row = [TaskContext.get().partitionId(), float(np.sqrt((x * x).sum(axis=1)).max()), np.concatenate(ids).astype("<i8").tobytes(), x.astype("<f8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.float64(), pa.binary(), pa.binary()))], names=["part", "longest", "ids", "x"])
+
+    ordered = clean.repartitionByRange(parts, F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
+    items = durable(ordered.select("vec_id", "embedding").mapInArrow(packed, "part bigint, longest double, ids binary, x binary"))
+    order = sorted((r.part, r.longest) for r in items.select("part", "longest").collect())
+    names, lengths = np.array([p for p, _ in order]), np.array([x for _, x in order])
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 piece = batch.slice(at, BLOCK)
-                ids.append(np.asarray(piece.column(0)))
-                xs.append(matrix(piece.column(1), dims) @ turn)
-                rows += piece.num_rows
-                if rows >= BLOCK:
-                    yield whole()
-                    ids, xs, rows = [], [], 0
-        if rows:
-            yield whole()
-
-    ordered = clean.withColumn("length", length).repartitionByRange(parts, F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
-    blocks = durable(ordered.select("vec_id", "embedding").mapInArrow(block, "ids binary, x binary"))
-    pairs = blocks.select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x")).crossJoin(blocks)
+                now = Running(np.asarray(piece.column(0)), matrix(piece.column(1), dims) @ turn, k)
+                now.meet(head_ids, head_x)
+                # lengths descend, so that the parts a query needs are the first ones
+                reach = [int((n * lengths + slack(n, lengths) >= least).sum()) for n, least in zip(now.lengths, now.least)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(now.least), pa.array(reach, pa.int64()), pack_rows(now.x.astype("<f8"))], names=["vec_id", "floor", "reach", "x"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: Running | None = None
-        name = None
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                piece = batch.slice(at, BLOCK)
+                ids, floor, reach = (np.asarray(c) for c in piece.columns[:3])
+                row = [ids.astype("<i8").tobytes(), floor.astype("<f8").tobytes(), b"".join(piece.column(3).to_pylist()), names[: reach.max()]]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["q_ids", "floor", "q_x", "parts"])
 
-        def result() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(now.ids[now.q]), pa.array(now.found), pa.array(now.scores)], names=["vec_id", "other_id", "score"])
+    queries = clean.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(seeded, "vec_id bigint, floor double, reach bigint, x binary")
+    bins = max(1, -(-n // (every * BLOCK)))
+    salts = -(-bins // QUERY_BLOCKS)
+    queries = queries.repartitionByRange(bins, "reach", "vec_id").mapInArrow(block, "q_ids binary, floor binary, q_x binary, parts array<bigint>")
+    queries = queries.select("q_ids", "floor", "q_x", (F.spark_partition_id() % salts).alias("salt"), F.explode("parts").alias("part"))
+    sides = items.select("ids", "x", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "part")
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                q_ids, q_x, i_ids, i_x = (c[row].as_buffer() for c in batch.columns)
-                if now is None or name != q_ids.to_pybytes():
-                    if now is not None:
-                        yield result()
-                    name = q_ids.to_pybytes()
-                    now = Running(np.frombuffer(name, "<i8"), np.frombuffer(q_x.to_pybytes(), "<f8").reshape(-1, dims), k)
-                now.meet(np.frombuffer(i_ids.to_pybytes(), "<i8"), np.frombuffer(i_x.to_pybytes(), "<f8").reshape(-1, dims))
-        if now is not None:
-            yield result()
-
+                q_ids, floor, q_x, ids, x = (np.frombuffer(c[row].as_buffer(), kind) for c, kind in zip(batch.columns, ("<i8", "<f8", "<f8", "<i8", "<f8")))
+                now, x = Running(q_ids, q_x.reshape(-1, dims), k, floor), x.reshape(-1, dims)
+                for at in range(0, len(x), BLOCK):
+                    if not now.meet(ids[at : at + BLOCK], x[at : at + BLOCK]):
+                        break
+                yield pa.RecordBatch.from_arrays([pa.array(now.ids[now.q]), pa.array(now.found), pa.array(now.scores)], names=["vec_id", "other_id", "score"])
+
+    pairs = queries.join(sides, ["part", "salt"]).select("q_ids", "floor", "q_x", "ids", "x")
     best = pairs.mapInArrow(search, "vec_id bigint, other_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "other_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "other_id", "score")
@@ -171,7 +205,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 with v as (select vec_id, embedding::double[] as e from embeddings),
-p as (select a.vec_id, b.vec_id as other_id, round(list_dot_product(a.e, b.e), {PLACES}) as s from v a join v b on a.vec_id <> b.vec_id),
+p as (select a.vec_id, b.vec_id as other_id, round(list_dot_product(a.e, b.e), {PLACES}) as s from v a join v b on a.vec_id <> b.vec_id where a.vec_id % {EVERY} = 0),
 r as (select vec_id, row_number() over (partition by vec_id order by s desc, other_id) as rank, other_id, s from p)
 select vec_id, rank::int as rank, other_id, floor(s * 1e6::double + 0.5::double) / 1e6::double as score from r where rank <= {K}
 """

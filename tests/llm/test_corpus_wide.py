@@ -142,26 +142,38 @@ ODD_VECTORS = [(1, [1.0, 0.0], "a", 1), (1, [1.0, 0.0], "a", 1), (2, None, "a",
 def test_vectors_on_awkward_rows(spark):
     odd = spark.createDataFrame(ODD_VECTORS, VECTORS)
     assert {r.vec_id: r.keep_id for r in embedding_dedup.near_duplicate_vectors(odd).collect()} == {1: 1, 7: 1}
-    top = {(r.vec_id, r["rank"]): r.other_id for r in topk.top_products(odd, 2).collect()}
+    top = {(r.vec_id, r["rank"]): r.other_id for r in topk.top_products(odd, 2, 1).collect()}
     assert top == {(1, 1): 7, (1, 2): 6, (6, 1): 1, (6, 2): 7, (7, 1): 1, (7, 2): 6, (8, 1): 1, (8, 2): 6}
     assert embedding_dedup.near_duplicate_vectors(odd.limit(0)).count() == 0 and topk.top_products(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 64])
-def test_top_products_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "part_bytes", "every"), [(2048, 8 << 20, 1), (64, 8000, 1), (16, 3000, 3)])
+def test_top_products_equal_brute_force(spark, monkeypatch, block, part_bytes, every):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(topk, "QUERY_BLOCKS", 2)
     rng = np.random.default_rng(5)
     x = (clusters(rng, 200, 16) * rng.lognormal(0, 1, (350, 1))).astype(np.float32).astype(float)
     x[10] = x[11] = x[12]
     got = defaultdict(list)
-    for r in topk.top_products(spark.createDataFrame([(i, v.tolist(), "r", 1) for i, v in enumerate(x)], VECTORS)).orderBy("vec_id", "rank").collect():
+    for r in topk.top_products(spark.createDataFrame([(i, v.tolist(), "r", 1) for i, v in enumerate(x)], VECTORS), every=every).orderBy("vec_id", "rank").collect():
         got[r.vec_id].append(r.other_id)
     product = np.round(x @ x.T, topk.PLACES)
-    for i in range(len(x)):
+    assert set(got) == {i for i in range(len(x)) if i % every == 0}
+    for i in got:
         want = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-product[i, j], j))[: topk.K]
         assert got[i] == want
 
 
+def test_lengths_leave_most_blocks_out():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 16)) * rng.lognormal(0, 1.5, (20_000, 1))
+    x = x[np.argsort(-np.linalg.norm(x, axis=1))]
+    now = topk.Running(np.arange(20_000, 20_100), rng.standard_normal((100, 16)), 10)
+    met = [now.meet(np.arange(at, at + 500), x[at : at + 500]) for at in range(0, 20_000, 500)]
+    assert met == sorted(met, reverse=True) and sum(met) < 15 and now.products < 0.1 * 100 * 20_000
+
+
 def test_mixture_sizes_expectations_and_awkward_rows(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randrange(1, 3000), rng.choice("aaaaabbc")) for i in range(600)]
