@@ -58,6 +58,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def join_counted(df: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def join_counted(df: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """df joined to a table that is already written; broadcast only where a count finds it small."""
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import durable, table
-from loomtext.llm.graph import components
+from loomtext.llm.buckets import chunks, connected, first_with
+from loomtext.llm.common import durable, join_counted, table
 from loomtext.llm.simhash import join
 from loomtext.llm.vectors import clean_vectors, matrix, pack_rows, unpack_rows
 
@@ -29,6 +29,46 @@ def rotation(dims: int, seed: int = 907) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+class Pairs:
+    """Estimates of all products among coded rows, from codes under two independent rotations alone.
+
+    With x and y the sign codes of o under the one and the other rotation, and f and g their factors,
+    <x(o), y(q)> / (f(o) g(q)) estimates <o, q> without bias, since the two codes' errors are independent; the mean of
+    that and of the same with o and q exchanged is what's used. `least` bounds from below, with EPSILON
+    standard deviations, what a pair of the given cosine is estimated at.
+    """
+
+    def __init__(self, code: np.ndarray, other: np.ndarray, f: np.ndarray, g: np.ndarray, cosine: float, turn: np.ndarray):
+        dims = len(turn)
+        self.x, self.y = ((np.unpackbits(b, axis=1)[:, :dims].astype(np.float32) * 2 - 1) / (math.sqrt(dims) * h[:, None]) for b, h in ((code, f), (other, g)))
+        self.y = self.y @ turn.T.astype(np.float32)  # to the basis of the first rotation
+        self.u, self.v = ((1 - h**2) / h**2 for h in (f, g))
+        self.sin2, self.dims, self.cosine = 1 - cosine**2, dims, cosine
+
+    def likely(self, rows: slice, others: slice) -> np.ndarray:
+        """Which pairs of rows and others the bound leaves."""
+        guess = (self.x[rows] @ self.y[others].T + self.y[rows] @ self.x[others].T) / 2
+        u, v = self.u[rows, None], self.v[rows, None]
+        p, q = self.u[None, others], self.v[None, others]
+        variance = ((u + v + p + q) * self.sin2 + u * q + v * p) / (4 * max(1, self.dims - 1))
+        return guess + EPSILON * np.sqrt(variance) >= self.cosine
+
+    def partnered(self, at: int, end: int, block: int = 1024) -> np.ndarray:
+        """Whether each row from at to end has a likely partner among them."""
+        found = np.zeros(end - at, bool)
+        for i in range(at, end, block):
+            for j in range(i, end, block):
+                a, b = slice(i, min(end, i + block)), slice(j, min(end, j + block))
+                if found[a.start - at : a.stop - at].all() and found[b.start - at : b.stop - at].all():
+                    continue
+                hit = self.likely(a, b)
+                if i == j:
+                    np.fill_diagonal(hit, False)
+                found[a.start - at : a.stop - at] |= hit.any(axis=1)
+                found[b.start - at : b.stop - at] |= hit.any(axis=0)
+        return found
+
+
 class Codes:
     """Sign codes of rotated unit vectors with the factor that corrects their inner products.
 
@@ -61,15 +101,17 @@ def layout(n: int, dims: int, cosine: float, recall: float = RECALL) -> list[np.
     return [rng.permutation(2 * dims)[:prefix] for _ in range(tables)]
 
 
-def connect(ids: np.ndarray, rotated: np.ndarray, bits: np.ndarray, factor: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+def connect(rotated: np.ndarray, bits: np.ndarray, factor: np.ndarray, cosine: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
     """Edges that connect what the pairs of a bucket with that cosine connect, and what was decided how.
 
     An upper bound below the cosine rejects a pair, a lower bound above it accepts one, the rest get the
-    exact product. A row that is already connected to another is not compared with it again.
+    exact product. `known` has by row the first row that it's connected to already; a row that is
+    connected to another is not compared with it again.
     """
     n, dims = rotated.shape
     codes = Codes(bits, factor, dims)
-    label = np.arange(n)
+    label = np.arange(n) if known is None else first_with(known)
+    before = label.copy()
     seen = {"rejected": 0, "accepted": 0, "exact": 0}
     step = max(1, min(512, (1 << 22) // n))
     for at in range(0, n, step):
@@ -87,17 +129,23 @@ def connect(ids: np.ndarray, rotated: np.ndarray, bits: np.ndarray, factor: np.n
         seen["rejected"] += int(later.sum() - sure.sum()) - len(i)
         si, sj = np.nonzero(sure)
         label = join(label, np.concatenate([rows[i[exact]], rows[si]]), np.concatenate([q[j[exact]], q[sj]]))
-    moved = np.flatnonzero(label != np.arange(n))
-    return ids[moved], ids[label[moved]], seen
+    moved = np.flatnonzero(label != before)
+    return moved, label[moved], seen
+
+
+def _cuts(bucket: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
 
 
 def near_duplicate_vectors(vecs: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Groups of near-duplicate embeddings: vec_id, keep_id (the least id of the group), is_kept.
 
     Groups are the connected parts of the relation "cosine at least `cosine`"; only those of two or
-    more have rows. Vectors are normalised and rotated once. Tables of code bits (from the sign codes
-    under two rotations) bring likely pairs together, each such pair with RECALL or more; in a bucket
-    the estimate and its bounds decide which pairs are multiplied exactly. There's no cap on partners.
+    more have rows. Vectors are normalised and rotated once, twice over. Tables of code bits bring likely pairs
+    together, each such pair with RECALL or more. Into the tables go codes and factors alone; they
+    tell which rows have a likely partner in a bucket, and only these are sent there with their vectors.
+    Among them estimates and bounds decide which pairs are multiplied exactly. There's no cap on
+    partners. Equal vectors go through the tables as one.
 
     Left out as in clean_vectors: nulls, NaNs, other dimensions, all but one vector of a repeated id;
     and zero vectors, which have no direction. An empty table gives no rows. Equal vectors are in one
@@ -116,51 +164,65 @@ def near_duplicate_vectors(vecs: DataFrame, cosine: float = COSINE) -> DataFrame
             norm = np.sqrt((x * x).sum(axis=1))
             keep = norm > 0
             x = (x[keep] / norm[keep, None]) @ turn
-            bits, factor = Codes.of(x)
-            other = np.packbits(x @ second > 0, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pack_rows(bits), pack_rows(other), pa.array(factor), pack_rows(x.astype("<f4"))], names=["vec_id", "code", "other", "factor", "rotated"])
-
-    coded = durable(clean.mapInArrow(encode, "vec_id bigint, code binary, other binary, factor double, rotated binary"))
-    tables = layout(coded.count(), dims, cosine)
-    schema = "bucket bigint, vec_id bigint, code binary, factor double, rotated binary"
+            (bits, f), (other, g) = Codes.of(x), Codes.of(x @ second)
+            code = np.concatenate([bits, other, f.astype("<f4")[:, None].view("u1"), g.astype("<f4")[:, None].view("u1")], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pack_rows(code), pack_rows(x.astype("<f4"))], names=["vec_id", "code", "rotated"])
+
+    def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        raw = unpack_rows(column, "u1", 2 * width + 8)
+        factors = np.ascontiguousarray(raw[:, 2 * width :]).view("<f4").astype(np.float64)
+        return raw[:, :width], raw[:, width : 2 * width], factors[:, 0], factors[:, 1]
+
+    every = durable(clean.mapInArrow(encode, "vec_id bigint, code binary, rotated binary"))
+    same = F.xxhash64("rotated"), F.xxhash64(F.lit(1), "rotated")
+    reps = every.groupBy(same[0].alias("h"), same[1].alias("l")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    copies = durable(reps.where("n > 1").select("h", "l", "rep"))
+    keyed = every.withColumn("h", same[0]).withColumn("l", same[1])
+    twins = durable(join_counted(keyed, copies, ["h", "l"]).where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
+    coded = join_counted(every, twins.select(F.col("a").alias("vec_id")), "vec_id", "left_anti")
+    tables = layout(every.count(), dims, cosine)
+
+    def keys(code: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
+        both = np.concatenate([np.unpackbits(b, axis=1)[:, :dims] for b in code[:2]], axis=1).astype(np.int64)
+        for t, bits in enumerate(tables):
+            yield both[:, bits] @ (1 << np.arange(len(bits), dtype=np.int64)) + (t << 44)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = np.concatenate([np.unpackbits(unpack_rows(batch.column(c), "u1", width), axis=1)[:, :dims] for c in (1, 2)], axis=1)
-            for t, bits in enumerate(tables):
-                key = both[:, bits].astype(np.int64) @ (1 << np.arange(len(bits), dtype=np.int64)) + (t << 44)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c) for c in (0, 1, 3, 4))], names=["bucket", "vec_id", "code", "factor", "rotated"])
-
-    def search(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        bucket, ids, factor = (rows.column(c).to_numpy() for c in (0, 1, 3))
-        codes, x = unpack_rows(rows.column(2), "u1", width), unpack_rows(rows.column(4), "<f4", dims)
-        cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+            for key in keys(unpack(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], names=["bucket", "vec_id", "code"])
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, opened, open_ in chunks(batches):
+            bucket, ids = (rows.column(c).to_numpy() for c in (0, 1))
+            pairs = Pairs(*unpack(rows.column(2)), cosine, second)
+            cuts = _cuts(bucket)
+            keep = np.concatenate([pairs.partnered(s, e) for s, e in zip(cuts[:-1], cuts[1:])])
+            keep |= (bucket == bucket[0]) & opened | (bucket == bucket[-1]) & open_  # others of the bucket may be elsewhere
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(bucket[keep])], names=["vec_id", "bucket"])
+
+    def forest(rows: pa.Table, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket = rows.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")  # visitors follow all residents
+        known = first_with(known[order])
+        code, x = unpack(rows.column("code")), unpack_rows(rows.column("rotated"), "<f4", dims)
+        cuts = _cuts(bucket[order])
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(cuts[:-1], cuts[1:]):
             if e - s > 1:
-                u, v, _ = connect(ids[s:e], x[s:e], codes[s:e], factor[s:e], cosine)
-                a.append(u), b.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            if rows > 100_000 and held[-1].column(0)[-1].as_py() != keys[-1]:
-                cut = int(np.searchsorted(keys, keys[-1]))
-                yield search([*held, batch.slice(0, cut)])
-                held, rows, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            rows += batch.num_rows
-        if rows:
-            yield search(held)
-
-    edges = coded.mapInArrow(spread, schema).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, "a bigint, b bigint").distinct()
-    groups = components(edges)
+                own = order[s:e]
+                i, j, _ = connect(x[own], code[0][own], code[2][own], cosine, known[s:e])
+                a.append(own[i]), b.append(own[j])
+        return np.concatenate(a), np.concatenate(b)
+
+    places = coded.select("vec_id", "code").mapInArrow(spread, "bucket bigint, vec_id bigint, code binary").repartitionByRange("bucket", "vec_id").sortWithinPartitions("bucket")
+    likely = durable(places.mapInArrow(partnered, "vec_id bigint, bucket bigint"))
+    wanted = durable(likely.select("vec_id").distinct())
+    vectors = join_counted(coded, wanted, "vec_id", "left_semi")
+    met = likely.join(vectors, "vec_id").select("bucket", F.col("vec_id").alias("id"), "code", "rotated")
+    roots = connected(met, ["id"], forest, 50_000, 100_000)
+    twins = twins.join(roots, twins["b"] == roots["node"], "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root"))
+    groups = durable(roots.union(twins))
     keepers = groups.select("root").distinct().select(F.col("root").alias("node"), "root")
     return groups.union(keepers).select(F.col("node").alias("vec_id"), F.col("root").alias("keep_id"), (F.col("node") == F.col("root")).alias("is_kept"))
 
@@ -169,8 +231,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-SQL = f"""
-with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+def query_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over embeddings to which scaled and disturbed copies of a third and a fifth of the vectors are added."""
+    base = table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 3).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    scaled = base.where("vec_id % 9 = 0").select(F.col("vec_id") + 1, F.transform("embedding", lambda x: x * 2))
+    disturbed = base.where("vec_id % 15 = 0").select(F.col("vec_id") + 2, F.transform("embedding", lambda x, i: x * (1 + F.lit(0.05) * ((i * 7 + F.col("vec_id")) % 5 - 2))))
+    return near_duplicate_vectors(base.union(scaled).union(disturbed))
+
+
+_GROUPS = f"""
 edge as (
   select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
   where list_dot_product(a.e, b.e) >= {COSINE} * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
@@ -178,3 +247,14 @@ reach(a, b) as (select a, b from edge union select r.a, e.b from reach r join ed
 grp as (select a as vec_id, least(a, min(b)) as keep_id from reach group by a)
 select vec_id, keep_id, vec_id = keep_id as is_kept from grp
 """
+
+SQL = f"with recursive v as (select vec_id, embedding::double[] as e from embeddings), {_GROUPS}"
+
+SQL_WITH_COPIES = f"""
+with recursive b as (select vec_id * 3 as vec_id, embedding::double[] as e from embeddings),
+v as (
+  select vec_id, e from b
+  union all select vec_id + 1, list_transform(e, lambda x: x * 2) from b where vec_id % 9 = 0
+  union all select vec_id + 2, list_transform(e, lambda x, i: x * (1 + 0.05::double * (((i - 1) * 7 + vec_id) % 5 - 2))) from b where vec_id % 15 = 0),
+{_GROUPS}
+"""

@@ -15,10 +15,12 @@ QUERIES = {
     "op8_top_products": topk.query,
     "op9_token_ids": token_ids.query,
     "op10_url_filter": url_filter.query,
+    "embedding_copies_near_duplicates": embedding_dedup.query_with_copies,
 }
 
 ORACLES: dict[str, str] = {
     "op2_embedding_near_duplicates": embedding_dedup.SQL,
     "op3_mixture": mixing.SQL,
+    "embedding_copies_near_duplicates": embedding_dedup.SQL_WITH_COPIES,
     "op8_top_products": topk.SQL,
 }

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import durable, slices, table
+from loomtext.llm.buckets import connected, first_with
+from loomtext.llm.common import durable, join_counted, slices, table
 from loomtext.llm.graph import components
 
 BITS = 128
@@ -173,14 +174,16 @@ class GrayIndex:
         keep = so_far <= distance
         return q[keep], node[keep]
 
-    def forest(self, distance: int, work: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    def forest(self, distance: int, work: int = 1 << 21, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Edges that connect just what all pairs within the distance connect, as rows of the input.
 
-        Queries go in chunks. Rows that one chunk has connected needn't be compared by the next, so a
-        bucket full of copies costs about as many comparisons as it has rows.
+        `known` has by row the first row that it's connected to already. Queries go in chunks. Rows that
+        one chunk has connected needn't be compared by the next, so a bucket full of copies costs about as
+        many comparisons as it has rows.
         """
         rows = len(self.order)
-        label = np.arange(rows)
+        label = np.arange(rows) if known is None else first_with(known[self.order])
+        before = label.copy()
         cost = np.cumsum(np.repeat(self.sizes, self.sizes)) if rows else np.zeros(0, np.int64)
         at = 0
         while at < rows:
@@ -189,7 +192,7 @@ class GrayIndex:
             a, b = self.pairs(np.arange(at, end), distance, label)
             label = join(label, a, b)
             at = end
-        moved = np.flatnonzero(label != np.arange(rows))
+        moved = np.flatnonzero(label != before)
         return self.order[moved], self.order[label[moved]]
 
 
@@ -216,52 +219,41 @@ def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def near_edges(prints: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) that connect fingerprints (rep, hi, lo) within the distance, for n of them or so."""
+def near_parts(prints: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
+    """(node, root) of the parts that fingerprints (rep, hi, lo) within the distance connect, for n of them or so."""
     orders = layout(n)
-    out = pa.schema([("bucket", pa.int64()), ("rep", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, hi, lo = (np.asarray(c) for c in batch.columns)
+            high, low = hi.view(np.uint64), lo.view(np.uint64)
+            gray = gray_rank(high, low)[0].view(np.int64)
             for t, order in enumerate(orders):
-                key = (_bucket(hi.view(np.uint64), lo.view(np.uint64), order) | _U(t << 44)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rep, hi, lo)], schema=out)
+                key = (_bucket(high, low, order) | _U(t << 44)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rep, hi, lo, gray)], names=["bucket", "id", "hi", "lo", "g_hi"])
 
-    edges = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def forest(table: pa.Table, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket, hi, lo = (table.column(c).to_numpy() for c in ("bucket", "hi", "lo"))
+        return GrayIndex(bucket, hi.view(np.uint64), lo.view(np.uint64)).forest(distance, known=known)
 
-    def search(held: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, rep, hi, lo = np.concatenate(held, axis=1)
-        a, b = GrayIndex(bucket, hi.view(np.uint64), lo.view(np.uint64)).forest(distance)
-        return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], schema=edges)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        rows = 0
-        for batch in batches:
-            now = np.stack([np.asarray(c) for c in batch.columns])
-            if rows > 200_000 and held[-1][0, -1] != now[0, -1]:  # the last bucket may go on
-                cut = int(np.searchsorted(now[0], now[0, -1]))
-                yield search([*held, now[:, :cut]])
-                held, rows = [], 0
-                now = now[:, cut:]
-            held.append(now)
-            rows += now.shape[1]
-        if rows:
-            yield search(held)
-
-    spreaded = prints.select("rep", "hi", "lo").mapInArrow(spread, "bucket bigint, rep bigint, hi bigint, lo bigint")
-    grouped = spreaded.repartition("bucket").sortWithinPartitions("bucket")
-    return grouped.mapInArrow(find, "a bigint, b bigint").distinct()
+    placed = prints.select("rep", "hi", "lo").mapInArrow(spread, "bucket bigint, id bigint, hi bigint, lo bigint, g_hi bigint")
+    return connected(placed, ["g_hi", "lo"], forest)
 
 
 def _groups(docs: DataFrame, distance: int) -> DataFrame:
-    """(doc_id, keep_id) by row of docs that has a fingerprint."""
-    base = durable(fingerprints(docs).withColumn("rep", F.min("doc_id").over(Window.partitionBy("hi", "lo"))))
-    prints = base.where("doc_id = rep").select("rep", "hi", "lo").distinct()
-    roots = components(near_edges(prints, base.count(), distance))
-    joined = base.join(roots, base["rep"] == roots["node"], "left")
-    return joined.select("doc_id", F.coalesce("root", "rep").alias("keep_id"))
+    """(doc_id, keep_id) by row of docs that has a fingerprint.
+
+    Equal fingerprints, however many, are counted and joined by them, never gathered.
+    """
+    base = durable(fingerprints(docs))
+    prints = durable(base.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    roots = near_parts(prints, prints.count(), distance)
+    moved = prints.where("n > 1").select("hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "full")
+    kept = durable(moved.select("hi", "lo", F.col("rep").alias("of"), F.coalesce("root", "rep").alias("to")))
+    copies = kept.where("hi IS NOT NULL").select("hi", "lo", "to")
+    alone = kept.where("hi IS NULL").select(F.col("of").alias("doc_id"), F.col("to").alias("single"))
+    joined = join_counted(join_counted(base, durable(copies), ["hi", "lo"], "left"), durable(alone), "doc_id", "left")
+    return joined.select("doc_id", F.coalesce("to", "single", "doc_id").alias("keep_id"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import durable, join_counted
+
 
 def clean_vectors(vecs: DataFrame) -> tuple[DataFrame, int]:
     """(vec_id, embedding) with usable vectors only, one for each id, and their dimension.
@@ -18,9 +20,14 @@ def clean_vectors(vecs: DataFrame) -> tuple[DataFrame, int]:
     good = vecs.select(vecs["vec_id"].cast("bigint").alias("vec_id"), vecs["embedding"].cast("array<double>").alias("embedding"))
     fine = "vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND x = x AND abs(x) < double('infinity'))"
     good = good.where(fine)
+    ids = durable(good.groupBy("vec_id").count().where("count > 1").select("vec_id"))
     sizes = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dims = sizes.d if sizes else 0
-    return good.where(F.size("embedding") == dims).groupBy("vec_id").agg(F.max("embedding").alias("embedding")), dims
+    good = good.where(F.size("embedding") == dims)
+    if ids.isEmpty():  # whole vectors are shuffled only where ids repeat, and of those only the repeated ones
+        return good, dims
+    again = join_counted(good, ids, "vec_id", "left_semi").groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    return join_counted(good, ids, "vec_id", "left_anti").union(again), dims
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:

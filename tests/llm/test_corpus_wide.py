@@ -6,12 +6,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from loomtext.llm import bpe, embedding_dedup, mixing, packing, pii, simhash, token_ids, topk
+from loomtext.llm import bpe, buckets, embedding_dedup, mixing, packing, pii, simhash, token_ids, topk
 from loomtext.llm.graph import components
 from tests import oracle
 from tests.llm.samples import AWKWARD, LONG, docs, prose
@@ -93,6 +94,58 @@ def test_gray_index_equals_all_pairs_in_a_bucket(rows, distance):
     assert parts([tuple(p) for p in want if len(p) > 1]) == {x: r for x, r in parts([(int(x), int(y)) for x, y in zip(*index.forest(distance, 64))]).items()}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_buckets_cut_in_chunks_are_connected_like_whole_ones(spark, monkeypatch, seed):
+    monkeypatch.setattr(buckets, "VISITORS", 7)
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 1 << 62, 12)
+    rows = []
+    for i in range(400):  # two thirds in one bucket, most of them near one centre
+        bucket = 5 if i % 3 else int(rng.integers(0, 30))
+        bits = sum(1 << int(b) for b in rng.choice(40, int(rng.integers(0, 4)), replace=False))
+        rows.append((bucket, i, int(centres[0 if rng.random() < 0.6 else int(rng.integers(0, 12))] ^ bits), 0))
+    want = [(a, b) for k, a, x, _ in rows for j, b, y, _ in rows if a < b and k == j and (x ^ y).bit_count() <= 3]
+
+    def forest(table, known):
+        bucket, hi, lo = (table.column(c).to_numpy() for c in ("bucket", "hi", "lo"))
+        return simhash.GrayIndex(bucket, hi.view(np.uint64), lo.view(np.uint64)).forest(3, known=known)
+
+    df = spark.createDataFrame(rows, "bucket bigint, id bigint, hi bigint, lo bigint")
+    got = {r.node: r.root for r in buckets.connected(df, ["id"], forest, 15, 25).collect()}
+    assert got == {x: r for x, r in parts(want).items() if x != r}
+
+
+@given(st.lists(st.integers(0, 4), max_size=80), st.integers(1, 9), st.integers(1, 12), st.integers(0, 6))
+@settings(max_examples=100, deadline=None)
+def test_chunks_keep_order_and_mark_cuts(keys, size, chunk, more):
+    keys = np.sort(np.array(keys, np.int64))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size])], names=["bucket"]) for i in range(0, len(keys), size)]
+    got = list(buckets.chunks(iter(batches), chunk, chunk + more))
+    assert [k for t, *_ in got for k in t.column(0).to_pylist()] == keys.tolist()
+    assert all(t.num_rows <= chunk + more for t, *_ in got)
+    assert not got or (got[0][1] and got[-1][2])
+    for (t, _, cut), (u, opened, _) in zip(got, got[1:]):
+        assert cut == opened == (t.column(0)[-1].as_py() == u.column(0)[0].as_py())
+
+
+def test_codes_alone_leave_every_near_pair():
+    rng = np.random.default_rng(9)
+    x = clusters(rng, 400).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a = x @ embedding_dedup.rotation(64)
+    second = embedding_dedup.rotation(64, 908)
+    (bits, f), (other, g) = embedding_dedup.Codes.of(a), embedding_dedup.Codes.of(a @ second)
+    pairs = embedding_dedup.Pairs(bits, other, f, g, embedding_dedup.COSINE, second)
+    near = x @ x.T >= embedding_dedup.COSINE
+    np.fill_diagonal(near, False)
+    likely = pairs.likely(slice(0, len(x)), slice(0, len(x)))
+    assert near.any() and likely[near].mean() > 0.99 and likely[~near].mean() < 0.05
+    found = pairs.partnered(0, len(x))
+    assert found[near.any(axis=1)].mean() > 0.99
+    error = (pairs.x @ pairs.y.T - x @ x.T)[~np.eye(len(x), dtype=bool)]
+    assert abs(error.mean()) < 2e-3
+
+
 def test_gray_rank_is_the_inverse_of_the_gray_code():
     for i in range(300):
         g_hi, g_lo = simhash.gray_rank(np.array([0], np.uint64), np.array([i ^ (i >> 1)], np.uint64))
@@ -254,7 +307,7 @@ def test_index_is_minimal_and_perfect(keys):
     assert all(block.find(x) == [(i, 2 * i, 3 * i)] for i, x in enumerate(keys))
 
 
-@pytest.mark.parametrize("name", ["op2_embedding_near_duplicates", "op3_mixture", "op8_top_products"])
+@pytest.mark.parametrize("name", ["op2_embedding_near_duplicates", "embedding_copies_near_duplicates", "op3_mixture", "op8_top_products"])
 def test_queries_against_sql(spark, name):
     from loomtext.llm.queries import ORACLES, QUERIES
 
