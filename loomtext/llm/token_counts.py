@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from loomtext.llm import bpe
 from loomtext.llm.common import slices, table
@@ -75,6 +77,11 @@ class PreTokenTree:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
         self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
 
+    def sums(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens by leaf: what a StoredTree needs besides the text."""
+        n = len(self.leaves)
+        return self.chars[self.width : self.width + n], self.tokens[self.width : self.width + n]
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -159,6 +166,47 @@ class PreTokenTree:
         return self
 
 
+class _Leaves(list):
+    """Leaves of a stored tree: the pre-tokens of a leaf are split from its stretch of the text when it's first asked for."""
+
+    def __init__(self, text: str, chars: list[int], coder: bpe.Bpe):
+        super().__init__([None] * len(chars))
+        self.text, self.coder, self.split = text, coder, 0
+        self.ends = [0, *accumulate(chars)]
+
+    def __getitem__(self, i):
+        leaf = super().__getitem__(i)
+        if leaf is None:
+            start, end = self.ends[i % len(self)], self.ends[i % len(self) + 1]
+            leaf, at = [], start
+            for piece in self.coder.pieces(self.text[start : end + LOOKAHEAD]):
+                if at >= end:
+                    break
+                leaf.append(piece)
+                at += len(piece)
+            self.split += 1
+            self[i] = leaf
+        return leaf
+
+    def __iter__(self):
+        return (self[i] for i in range(len(self)))
+
+
+class StoredTree(PreTokenTree):
+    """A tree made of the leaf sums that a former one kept and its text; nothing is encoded until an edit touches it."""
+
+    def __init__(self, text: str, chars: list[int], tokens: list[int], coder: bpe.Bpe):
+        if sum(chars) != len(text):
+            raise ValueError("the sums belong to another text")
+        self.coder, self.reencoded = coder, 0
+        self.leaves = _Leaves(text, chars, coder)
+        self.width = 1 << (len(chars) - 1).bit_length()
+        gap = [0] * (self.width - len(chars))
+        self.chars, self.tokens = [0] * self.width + chars + gap, [0] * self.width + tokens + gap
+        for node in range(self.width - 1, 0, -1):
+            self._sum_node(node)
+
+
 _RUNS = re.compile(r"([!-/:-@\[-`{-~])\1{2,}")
 
 
@@ -213,5 +261,53 @@ def count_tokens(
     return narrow.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_edits bigint, n_reencoded bigint, n_tokens_edited bigint")
 
 
+def with_trees(docs: DataFrame, vocab_path: str = bpe.VOCAB_PATH) -> DataFrame:
+    """docs with tree_chars and tree_tokens, the leaf sums of each text's tree, to be stored beside the text.
+
+    A null text has null sums, an empty one those of one empty leaf. Rows and other columns are as they
+    were; docs must not have columns of these two names. One pass in Arrow batches, no shuffle.
+    """
+    if {"tree_chars", "tree_tokens"} & set(docs.columns):
+        raise ValueError("docs has tree_chars or tree_tokens already")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.load(vocab_path)
+        for batch in slices(batches):
+            sums = [(None, None) if t is None else PreTokenTree(t, coder).sums() for t in batch.column(at).to_pylist()]
+            more = [pa.array([x[i] for x in sums], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "tree_chars", "tree_tokens"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("tree_chars", "tree_tokens"))]))
+
+
+def count_edited(stored: DataFrame, edits: Callable[[str], list[Edit]] = cleaning_edits, vocab_path: str = bpe.VOCAB_PATH) -> DataFrame:
+    """The rows of count_tokens for docs that carry their trees (with_trees): only what the edits touch is split and encoded.
+
+    n_tokens is the root of the stored sums. Rows without sums have null counts; sums of another text are an error.
+    Otherwise as count_tokens.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_reencoded", pa.int64()), ("n_tokens_edited", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.load(vocab_path)
+        for batch in slices(batches):
+            rows: list[tuple] = []
+            for doc_id, text, chars, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if text is None or chars is None or tokens is None:
+                    rows.append((doc_id, None, None, None, None))
+                    continue
+                raw = edits(text)
+                tree = StoredTree(text, chars, tokens, coder) if raw else None
+                before = tree.total if tree else sum(tokens)
+                if tree:
+                    tree.apply(text, raw)
+                rows.append((doc_id, before, len(raw), tree.reencoded if tree else 0, tree.total if tree else before))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    narrow = stored.select(stored["doc_id"].cast("bigint").alias("doc_id"), stored["text"].alias("text"), "tree_chars", "tree_tokens")
+    return narrow.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_edits bigint, n_reencoded bigint, n_tokens_edited bigint")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))

@@ -36,6 +36,41 @@ def test_edits_in_the_tree_equal_a_full_recount(text, raw):
     assert tree.total == len(CODER.encoding.encode_ordinary(after))
 
 
+@given(TEXT, st.lists(st.tuples(st.integers(0, 120), st.integers(0, 12), st.text(alphabet="a b'!1\n", max_size=9)), max_size=4), st.integers(1, 5))
+@settings(max_examples=300, deadline=None)
+def test_edits_of_a_stored_tree_equal_a_full_recount(text, raw, leaf):
+    edits = [(s, s + n, new) for s, n, new in raw]
+    kept, token_counts.LEAF = token_counts.LEAF, leaf
+    try:
+        chars, tokens = token_counts.PreTokenTree(text, CODER).sums()
+    finally:
+        token_counts.LEAF = kept
+    tree = token_counts.StoredTree(text, chars, tokens, CODER)
+    assert tree.total == len(CODER.encoding.encode_ordinary(text)) and tree.leaves.split == 0
+    after = token_counts.apply_edits(text, edits)
+    tree.apply(text, edits)
+    assert tree.total == len(CODER.encoding.encode_ordinary(after))
+    assert tree.text == after
+
+
+def test_a_stored_tree_splits_only_the_leaves_of_its_edits():
+    text = " ".join(f"word{i}" for i in range(20000))
+    tree = token_counts.StoredTree(text, *token_counts.PreTokenTree(text, CODER).sums(), CODER)
+    tree.edit(50_000, 50_003, "x")
+    assert tree.leaves.split < 4 and tree.reencoded < 40
+
+
+def test_stored_trees_give_the_same_counts(spark):
+    rows = [*AWKWARD, (9, "a line that is long enough\n" * 5 + "!!!!! so ### it ends", "a"), (10, LONG + "%%%%%", "b")]
+    plain = token_counts.count_tokens(docs(spark, rows)).collect()
+    stored = token_counts.with_trees(docs(spark, rows))
+    assert stored.columns[:-2] == docs(spark, []).columns
+    assert sorted(token_counts.count_edited(stored).collect(), key=repr) == sorted(plain, key=repr)
+    assert token_counts.count_edited(token_counts.with_trees(docs(spark, []))).count() == 0
+    with pytest.raises(ValueError):
+        token_counts.with_trees(stored)
+
+
 def test_an_edit_touches_only_its_region():
     text = " ".join(f"word{i}" for i in range(20000))
     tree = token_counts.PreTokenTree(text, CODER)
