@@ -146,6 +146,44 @@ def test_codes_alone_leave_every_near_pair():
     assert abs(error.mean()) < 2e-3
 
 
+def test_fingerprints_of_similar_documents_are_near_and_of_others_far():
+    """Over all pairs of sf0.1 that share words enough: word-triple Jaccard of 0.7 or more against the distance."""
+    import duckdb
+
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.1/documents.parquet' where text is not null").fetchall()
+    triples, prints = [], []
+    for _, t in rows:
+        w = t.split()
+        triples.append(frozenset(hash((a, b, c)) for a, b, c in zip(w, w[1:], w[2:])))
+        prints.append(simhash.fingerprint(t) or bytes(16))
+    codes = np.frombuffer(b"".join(prints), "<u8").reshape(-1, 2)
+    size = np.array([len(t) for t in triples])
+    order = np.argsort(size, kind="stable")
+    rare = Counter(x for t in triples for x in t)
+    index = defaultdict(list)
+    similar = near = wrong = 0
+    for i in order[np.searchsorted(size[order], 5) :].tolist():  # prefix filter: a pair of 0.7 shares one of the rarest triples of either
+        own = sorted(triples[i], key=lambda x: (rare[x], x))
+        seen = set()
+        for x in own[: len(own) - int(np.ceil(0.7 * len(own))) + 1]:
+            seen.update(j for j in index[x] if size[j] >= 0.7 * size[i])
+            index[x].append(i)
+        for j in seen:
+            both = len(triples[i] & triples[j])
+            if both >= 0.7 * (size[i] + size[j] - both):
+                similar += 1
+                near += int(np.bitwise_count(codes[i] ^ codes[j]).sum()) <= simhash.DISTANCE
+    for i in range(0, len(codes), 500):
+        far = np.bitwise_count(codes[i : i + 500, None, 0] ^ codes[None, :, 0]).astype(np.int16) + np.bitwise_count(codes[i : i + 500, None, 1] ^ codes[None, :, 1])
+        for a, b in np.argwhere(far <= simhash.DISTANCE):
+            a = int(a) + i
+            if a < b and size[a] > 4 and size[b] > 4:
+                both = len(triples[a] & triples[b])
+                wrong += both < 0.4 * (size[a] + size[b] - both)
+    assert similar > 1000 and near >= 0.99 * similar and wrong <= 0.01 * similar, (similar, near, wrong)
+    print(similar, near, wrong)
+
+
 def test_gray_rank_is_the_inverse_of_the_gray_code():
     for i in range(300):
         g_hi, g_lo = simhash.gray_rank(np.array([0], np.uint64), np.array([i ^ (i >> 1)], np.uint64))
