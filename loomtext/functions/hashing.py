@@ -41,7 +41,7 @@ def subword_vector(token: str, dims: int, min_n: int = 3, max_n: int = 5) -> np.
     """The mean of the vectors of all character n-grams of <token>; of <token> itself if there are none."""
     word = f"<{token}>"
     grams = [word[i : i + n] for n in range(min_n, max_n + 1) for i in range(len(word) - n + 1)]
-    return deterministic_vectors(grams or [word], dims).mean(axis=0, dtype=np.float32)
+    return deterministic_vectors(grams or [word], dims).mean(axis=0, dtype=np.float64)
 
 
 def fnv1a(data: bytes) -> int:

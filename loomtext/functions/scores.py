@@ -27,9 +27,9 @@ def normalise(scores: DataFrame, by: str, score: str = "score", floor: float = 1
 
 
 def rank(scores: DataFrame, by: str) -> DataFrame:
-    """Long (by, label, score) to one row each: labels, an array of (label, score) by descending score, then label."""
+    """Long (by, label, score) to one row each: labels, an array of (label, score) by descending score, then label; equal rows count once."""
     pairs = F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("label").alias("label")))
-    ordered = F.transform(F.array_sort(pairs), lambda x: F.struct(x["label"].alias("label"), (-x["s"]).alias("score")))
+    ordered = F.transform(F.array_sort(F.array_distinct(pairs)), lambda x: F.struct(x["label"].alias("label"), (-x["s"]).alias("score")))
     return scores.groupBy(by).agg(ordered.alias("labels"))
 
 

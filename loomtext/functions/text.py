@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -27,6 +28,11 @@ def tokens(text: Column, decode: bool = False) -> Column:
     return F.filter(F.split(F.regexp_replace(low, f"[^{WORD}]+", " "), " "), lambda t: t != "")
 
 
+def split_words(text: str) -> list[str]:
+    """tokens() of one text on the driver."""
+    return regex.findall(r"[\p{Alphabetic}\p{N}]+", text.lower())
+
+
 def tokenize(text: Column) -> Column:
     """Runs of letters and digits, cut as well wherever upper case meets anything else; case stays."""
     cut = F.regexp_replace(text, r"(?<=\p{IsUppercase})(?=[^\p{IsUppercase}])|(?<=[^\p{IsUppercase}])(?=\p{IsUppercase})", " ")

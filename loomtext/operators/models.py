@@ -19,7 +19,7 @@ from loomtext.operators import ensemble, linear, trees
 from loomtext.operators.embeddings import document_vectors, train_word_vectors
 from loomtext.operators.features import TfIdf, fit_tfidf, to_vectors, zscore
 from loomtext.operators.knn import KnnModel
-from loomtext.operators.rules import HIT, RuleMatcher, apply_rules, find_matches
+from loomtext.operators.rules import HIT, RuleMatcher, boosted, find_matches
 
 NLP = ("Count", "TfIdf", "Word2Vec", "FastText")
 DIMS = 32
@@ -29,6 +29,14 @@ METHODS = ("LogisticRegression", "Svm", "RandomForest", "GradientBoosting", "Iso
 CONFIGS = {"LogisticRegression": linear.LogisticConfig, "Svm": linear.SvmConfig, "RandomForest": trees.ForestConfig, "GradientBoosting": trees.BoostingConfig, "IsolationForest": trees.IsolationConfig}
 
 
+def with_labels(docs: DataFrame, ranked: DataFrame, add: bool, matchers: list[RuleMatcher]) -> DataFrame:
+    """(doc_id, labels, extra_hits) of docs (doc_id, text) and their ranked labels."""
+    hits = docs.select("doc_id", F.coalesce(find_matches(F.col("text"), matchers), F.array().cast(HIT)).alias("extra_hits"))
+    rows = hits.join(ranked, "doc_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<struct<label:string,score:double>>")))
+    rows = rows.withColumn("labels", boosted(F.col("labels"), F.col("extra_hits"))) if add and matchers else rows
+    return rows.select("doc_id", "labels", "extra_hits")
+
+
 class Classifier(ABC):
     """Gives every document its labels with scores. Subclasses give scores; users may bring their own."""
 
@@ -37,18 +45,29 @@ class Classifier(ABC):
         """(doc_id, label, score) for docs (doc_id, text)."""
 
     def classify(self, docs: DataFrame, add_rules: bool = False, matchers: list[RuleMatcher] | None = None) -> DataFrame:
-        """(doc_id, labels, extra_hits): labels by descending score, boosted by rules if add_rules."""
-        ranked = docs.select("doc_id", "text").join(rank(self.scores(docs), "doc_id"), "doc_id", "left")
-        ranked = ranked.withColumn("labels", F.coalesce("labels", F.array().cast("array<struct<label:string,score:double>>")))
-        return apply_rules(ranked, matchers or [], add_rules).select("doc_id", "labels", "extra_hits")
+        """(doc_id, labels, extra_hits): labels by descending score, boosted by rules if add_rules; hits in either case.
+
+        A row of docs gives a row. Rows that repeat a doc_id have hits of their own text, and the labels of
+        the document that they make together; a null doc_id has hits and no labels. Texts stay where they are:
+        what is joined is hits and labels.
+        """
+        return with_labels(docs, rank(self.scores(docs), "doc_id"), add_rules, matchers or [])
 
     def classify_text(self, spark: SparkSession, text: str, add_rules: bool = False, matchers: list[RuleMatcher] | None = None):
         """One text as a batch of one row."""
         return self.classify(spark.createDataFrame([(0, text)], "doc_id bigint, text string"), add_rules, matchers).first()
 
 
+class ExplainableClassifier(Classifier):
+    """A classifier that can say what each token adds to a document's best label."""
+
+    @abstractmethod
+    def explain(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, label, pos, token, contribution) of each token of docs (doc_id, text)."""
+
+
 @dataclass
-class BayesClassifier(Classifier):
+class BayesClassifier(ExplainableClassifier):
     model: nb.BayesModel
 
     @classmethod
@@ -208,12 +227,12 @@ class MllibClassifier(Classifier):
 
     def _vectors(self, docs: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector
-        from pyspark.sql.types import ArrayType, DoubleType
+        from pyspark.ml.linalg import Vectors, VectorUDT
 
         dims = self.pipeline.output_dims
-        dense = F.udf(lambda i, v: [dict(zip(i, v)).get(k, 0.0) for k in range(dims)], ArrayType(DoubleType()), useArrow=True)
-        whole = F.col("vals") if self.pipeline.vectors is not None else dense("idxs", "vals")
-        return self.pipeline.transform(docs).select("doc_id", array_to_vector(whole).alias("features"))
+        sparse = F.udf(lambda i, v: Vectors.sparse(dims, i, v), VectorUDT())
+        features = array_to_vector("vals") if self.pipeline.vectors is not None else sparse("idxs", "vals")
+        return self.pipeline.transform(docs).select("doc_id", features.alias("features"))
 
     def scores(self, docs: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
@@ -284,9 +303,6 @@ class EnsembleClassifier(Classifier):
     def classify(self, docs: DataFrame, add_rules: bool = False, matchers: list[RuleMatcher] | None = None) -> DataFrame:
         """Members boost their own scores; their hits follow one another, once with dedupe_hits."""
         matchers = matchers or []
-        ranked = docs.select("doc_id", "text").join(rank(self._merged(docs, add_rules, matchers), "doc_id"), "doc_id", "left")
-        hits = find_matches(F.col("text"), matchers) if add_rules and matchers else F.array().cast(HIT)
-        every = hits if self.dedupe_hits else F.flatten(F.array_repeat(hits, len(self.members)))
-        empty = F.array().cast("array<struct<label:string,score:double>>")
-        return ranked.select("doc_id", F.coalesce("labels", empty).alias("labels"), every.alias("extra_hits"))
+        rows = with_labels(docs, rank(self._merged(docs, add_rules, matchers), "doc_id"), False, matchers)
+        return rows if self.dedupe_hits else rows.withColumn("extra_hits", F.flatten(F.array_repeat("extra_hits", len(self.members))))
 

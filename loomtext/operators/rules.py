@@ -92,16 +92,19 @@ def merge_scores(base: Column, boost: Column, add: bool) -> Column:
 
 
 def apply_rules(scored: DataFrame, matchers: list[RuleMatcher], add: bool, text: str = "text") -> DataFrame:
-    """labels (an array of label and score) boosted and ranked again, with extra_hits.
+    """labels (an array of label and score) with the hits of the matchers as extra_hits; boosted and ranked again with add on.
 
-    The boost is the same for every label of a document, so only the cap at 1 can change their order;
-    ties go to the label that comes first. Without matchers or with add off nothing is computed.
+    Hits are told whether or not they count. A null text has none.
     """
-    if not add or not matchers:
-        return scored.withColumn("extra_hits", F.array().cast(HIT))
-    hits = scored.withColumn("extra_hits", find_matches(F.col(text), matchers))
-    boosted = F.transform("labels", lambda x: F.struct((-merge_scores(x["score"], rule_boost(F.col("extra_hits")), True)).alias("s"), x["label"].alias("label")))
-    return hits.withColumn("labels", F.transform(F.array_sort(boosted), lambda x: F.struct(x["label"].alias("label"), (-x["s"]).alias("score"))))
+    hits = scored.withColumn("extra_hits", F.coalesce(find_matches(F.col(text), matchers), F.array().cast(HIT)))
+    return hits.withColumn("labels", boosted(F.col("labels"), F.col("extra_hits"))) if add and matchers else hits
+
+
+def boosted(labels: Column, hits: Column) -> Column:
+    """Ranked labels with the boost of the hits; it is the same for every label of a document, so only the
+    cap at 1 can change their order, and ties go to the label that comes first."""
+    each = F.transform(labels, lambda x: F.struct((-merge_scores(x["score"], rule_boost(hits), True)).alias("s"), x["label"].alias("label")))
+    return F.transform(F.array_sort(each), lambda x: F.struct(x["label"].alias("label"), (-x["s"]).alias("score")))
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
@@ -109,9 +112,14 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 
 def match_join(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, rule_id, score) by a join of documents with a table of rules, for rules that aren't literals."""
+    """(doc_id, rule_id, score) by a join of documents with a table of rules, for rules that aren't literals.
+
+    Over MAX_RULES rules are an error, as in rule files, so what is broadcast is bounded.
+    """
+    if len(rules.take(MAX_RULES + 1)) > MAX_RULES:
+        raise TooLarge("rules", f"over {MAX_RULES} rules")
     pattern = F.concat(F.lit("(?U)"), F.col("match_rule"))
-    return docs.join(F.broadcast(rules.limit(MAX_RULES)), F.call_function("rlike", F.col("text"), pattern)).select("doc_id", "rule_id", "score")
+    return docs.join(F.broadcast(rules), F.call_function("rlike", F.col("text"), pattern)).select("doc_id", "rule_id", "score")
 
 
 # --- loading ---

@@ -12,8 +12,8 @@ from loomtext.errors import InvalidConfig
 from loomtext.functions.labels import canonical_label
 from loomtext.functions.scores import top_score
 from loomtext.functions.text import decode_obfuscated_text
-from loomtext.operators.models import AdvancedClassifier, BayesClassifier, Classifier, KnnClassifier
-from loomtext.operators.rules import RuleMatcher, apply_rules, build_matcher, load_rules
+from loomtext.operators.models import AdvancedClassifier, BayesClassifier, Classifier, KnnClassifier, with_labels
+from loomtext.operators.rules import RuleMatcher, build_matcher, load_rules
 from loomtext.plans.config import ExtraMatch, ModelConfig, RulesFile, is_knn, method_kind, nlp_option, requires_p
 from loomtext.sources.dataset import load_samples, union_samples
 from loomtext.sources.security import MAX_FILE_BYTES, MAX_THREADS
@@ -150,12 +150,17 @@ def matchers_from_rules_file(spark: SparkSession, rules: RulesFile) -> list[Rule
     return [matcher_from(spark, e) for e in rules.extra_match]
 
 
-def report(classified: DataFrame, docs: DataFrame, title: str, when: Any = None) -> DataFrame:
-    """Report rows of classified documents (doc_id, labels, extra_hits); docs has their source_name."""
+def report(classified: DataFrame, docs: DataFrame, untitled: str = "object", when: Any = None) -> DataFrame:
+    """Report rows of classified documents (doc_id, labels, extra_hits); docs has their source_name, a path.
+
+    title_object is the last name of the path, or `untitled` where it has none.
+    """
+    title = F.regexp_extract("source_name", r"[^/\\]*$", 0)
+    title = F.when(F.length(title) > 0, title).otherwise(F.lit(untitled))
     names = F.array_join(F.transform("labels", lambda x: F.concat(x["label"], F.lit(":"), F.format_string("%.2f", x["score"]))), ",")
     at = F.current_timestamp() if when is None else F.lit(when)
     joined = classified.join(docs.select("doc_id", "source_name"), "doc_id")
-    return joined.select(F.lit(title).alias("title_object"), F.col("source_name").alias("name_file_dataset"), names.alias("classify_names_list"), at.alias("date_of_occurrence"), (top_score(F.col("labels")) * 100).alias("score_percent"), F.array_join(F.transform("extra_hits", lambda h: h["title"]), ",").alias("match_titles"))
+    return joined.select(title.alias("title_object"), F.col("source_name").alias("name_file_dataset"), names.alias("classify_names_list"), at.alias("date_of_occurrence"), (top_score(F.col("labels")) * 100).alias("score_percent"), F.array_join(F.transform("extra_hits", lambda h: h["title"]), ",").alias("match_titles"))
 
 
 def run_rules_pipeline(spark: SparkSession, rules: RulesFile, path: str) -> DataFrame:
@@ -166,6 +171,6 @@ def run_rules_pipeline(spark: SparkSession, rules: RulesFile, path: str) -> Data
     model = builder_from_rules(spark, rules).build()
     probes = load_samples(spark, path, "RAW_DATA", rules.recursive, rules.max_file_bytes or MAX_FILE_BYTES).withColumnRenamed("sample_id", "doc_id")
     view = probes.withColumn("text", decode_obfuscated_text(F.col("text"))) if rules.decode else probes
-    scored = model.classify(view, False).select("doc_id", "labels").join(probes.select("doc_id", "text"), "doc_id")
-    hits = apply_rules(scored, matchers_from_rules_file(spark, rules), rules.score_sum)  # rules read the text as it is
-    return report(hits, probes, rules.report_name or "classification").orderBy("name_file_dataset")
+    ranked = model.classify(view).select("doc_id", "labels")
+    classified = with_labels(probes, ranked, rules.score_sum, matchers_from_rules_file(spark, rules))  # rules read the text as it is
+    return report(classified, probes).orderBy("name_file_dataset")

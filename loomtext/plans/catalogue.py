@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import scores as sc
 from loomtext.functions import text as tx
-from loomtext.functions.labels import CANONICAL, label_column
+from loomtext.functions.labels import CANONICAL, LabelEncoder, label_column
 from loomtext.operators import bayes, embeddings, ensemble, features, metrics, rules
 from loomtext.operators.knn import KnnModel, distance
-from loomtext.operators.models import AdvancedClassifier
+from loomtext.operators.models import AdvancedClassifier, BayesClassifier
 from loomtext.plans.builder import report
 from loomtext.session import table
 
@@ -216,7 +216,7 @@ def bayes_tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bayes_explain", _nb_scores("count") + f""",
 best as (select doc_id, label from (select *, row_number() over (partition by doc_id order by s desc, label) as r from l) where r = 1),
-e as (select d.doc_id, unnest({TOK}) as token, generate_subscripts({TOK}, 1) - 1 as pos from documents d)
+ts as materialized (select doc_id, {TOK} as ts from documents), e as (select doc_id, unnest(ts) as token, generate_subscripts(ts, 1) - 1 as pos from ts)
 select e.doc_id, best.label, pos::int as pos, token, round(ln((coalesce(c.c, 0) + 1.0::double) / (tot.total + vs.v)), 6) as contribution
 from e join best on e.doc_id = best.doc_id join tot on tot.label = best.label cross join vs left join c on c.label = best.label and c.tok = e.token
 """)
@@ -347,6 +347,22 @@ def rule_merge_scores(spark: SparkSession, d: str) -> DataFrame:
     return _boosted(spark, d).select("doc_id", F.explode("labels").alias("l")).select("doc_id", "l.label", _round(F.col("l.score")).alias("score"))
 
 
+@query("rule_hits_off", _nb_scores("count") + f", {_RULES_SQL}, q as (select doc_id, label, e / sum(e) over (partition by doc_id) as s from p), h as (select doc_id, string_agg(title, ',' order by rule_id) as titles from hit group by doc_id) select q.doc_id, label, round(s, 6) as score, coalesce(titles, '') as titles from q left join h on h.doc_id = q.doc_id")
+def rule_hits_off(spark: SparkSession, d: str) -> DataFrame:
+    rows = BayesClassifier(_nb_model(spark, d)).classify(_docs(spark, d), False, [_matcher(spark)])
+    titles = F.array_join(F.transform("extra_hits", lambda h: h["title"]), ",").alias("titles")
+    return rows.select("doc_id", titles, F.explode("labels").alias("l")).select("doc_id", "l.label", _round(F.col("l.score")).alias("score"), "titles")
+
+
+_TITLED = "title || ': ' || case rule_id " + " ".join(f"when {i} then '{r.description}'" for i, r in enumerate(RULES)) + " end"
+
+
+@query("alert_titles", f"with {_RULES_SQL} select d.doc_id, count(hit.doc_id) > 0 as has_alerts, coalesce(string_agg({_TITLED}, '; ' order by rule_id), '') as titles from documents d left join hit on hit.doc_id = d.doc_id group by d.doc_id")
+def alert_titles(spark: SparkSession, d: str) -> DataFrame:
+    alerts = rules.AlertMatcher(RULES)
+    return _docs(spark, d).select("doc_id", alerts.has_alerts(F.col("text")).alias("has_alerts"), F.array_join(alerts.alert_titles(F.col("text")), "; ").alias("titles"))
+
+
 _ALERTS = "al as (select * from (values " + ", ".join(f"({i}, '{label}')" for i, r in enumerate(RULES) for label in r.target_labels) + ") as a(rule_id, label))"
 
 
@@ -364,11 +380,11 @@ def engine_max_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("report_records", _BOOSTED + f""", n as (select m.doc_id, string_agg(label || ':' || printf('%.2f', s), ',' order by s desc, label) as classify_names_list, max(s) * 100 as top from m group by m.doc_id),
 h as (select doc_id, string_agg(title, ',' order by rule_id) as titles from hit group by doc_id)
-select 'corpus' as title_object, d.source as name_file_dataset, d.doc_id::varchar as doc, classify_names_list, round(top, 4) as score_percent, coalesce(titles, '') as match_titles from documents d join n on n.doc_id = d.doc_id left join h on h.doc_id = d.doc_id
+select d.doc_id::varchar as title_object, d.source as name_file_dataset, d.doc_id::varchar as doc, classify_names_list, round(top, 4) as score_percent, coalesce(titles, '') as match_titles from documents d join n on n.doc_id = d.doc_id left join h on h.doc_id = d.doc_id
 """)
 def report_records(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_name"))
-    rows = report(_boosted(spark, d), names, "corpus").drop("date_of_occurrence")
+    rows = report(_boosted(spark, d), names).drop("date_of_occurrence")
     parts = F.split("name_file_dataset", "/")
     return rows.select("title_object", F.get(parts, F.lit(0)).alias("name_file_dataset"), F.get(parts, F.lit(1)).alias("doc"), "classify_names_list", _round("score_percent", 4).alias("score_percent"), "match_titles")
 
@@ -460,8 +476,10 @@ def roc_auc_grouped(spark: SparkSession, d: str) -> DataFrame:
 
 @query("label_encoding", "select label, (row_number() over (order by label) - 1)::int as code, n::bigint as n from (select source as label, count(*) as n from documents group by source)")
 def label_encoding(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "documents").groupBy(F.col("source").alias("label")).agg(F.count("*").alias("n"))
-    return n.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("code"), "n")
+    docs = table(spark, d, "documents")
+    code = LabelEncoder.fit(docs, "source")
+    n = docs.groupBy(code.encoded(F.col("source")).alias("code")).agg(F.count("*").alias("n"))
+    return n.select(code.decoded(F.col("code")).alias("label"), "code", "n")
 
 
 @query("class_distribution", "with c as (select quality, toxic, count(*)::double as n from labels group by all), t as (select sum(n) as t from c) select quality, toxic, n::bigint as n, round(n / t, 6) as share, round(1 - (select sum((n / t) * (n / t)) from c cross join t), 6) as gini from c cross join t")
@@ -489,18 +507,45 @@ for _name, _method in (("logistic_scores", "LogisticRegression"), ("svm_scores",
     query(_name)(_dense_scores(_method))
 
 
-@query("hash_vectors")
+_WRAP = "18446744073709551616::hugeint"
+
+
+def _hashed(x: str, dims: int = 16) -> str:
+    """The hashed vector of a text in 128-bit arithmetic."""
+    seed = f"list_reduce(list_transform(range(1, strlen({x}) + 1), lambda i: ('0x' || substr(hex(encode({x})), 2 * i - 1, 2))::int::hugeint), lambda s, b: (s * 131 + b + 17) % {_WRAP}, 0::hugeint)"
+    steps = f"list_reduce(range({dims}), lambda a, i: list_append(a, (a[-1] * 6364136223846793005::hugeint + 1) % {_WRAP}), [{seed}])[2:]"
+    return f"list_transform({steps}, lambda s: (s // 4294967296::hugeint)::float / 4294967295::float * 2::float - 1::float)"
+
+
+def _subwords(longest: int, dims: int = 16) -> str:
+    """CTEs: w, the distinct tokens; sv (token, pos, x), the means of the vectors of their n-grams of three characters or more."""
+    return f"""w as (select distinct unnest({TOK}) as token from documents),
+    g as (select token, unnest(flatten(list_transform(range(3, {longest + 1}), lambda n: list_transform(range(1, greatest(0, len(token) + 3 - n) + 1), lambda i: substr('<' || token || '>', i, n))))) as gram from w),
+    gv as (select gram, {_hashed('gram', dims)} as v from (select distinct gram from g)),
+    gx as (select gram, unnest(v)::double as x, generate_subscripts(v, 1) - 1 as pos from gv),
+    sv as (select g.token, gx.pos, avg(gx.x) as x from g join gx on gx.gram = g.gram group by all)"""
+
+
+def _long(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.posexplode("vector").alias("pos", "value")).select(key, "pos", _round("value").alias("value"))
+
+
+@query("hash_vectors", f"with v as (select token, {_hashed("token", 4)} as v from (select distinct unnest({TOK}) as token from documents)) select token, pos::int as pos, round(x::double, 6) + 0.0 as value from (select token, unnest(v) as x, generate_subscripts(v, 1) - 1 as pos from v)")
 def hash_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return embeddings.vector_table(_docs(spark, d), 16, "hash")
+    return _long(embeddings.vector_table(_docs(spark, d), 4, "hash"), "token")
 
 
-@query("subword_vectors")
+@query("subword_vectors", f"with {_subwords(5, 4)} select token, pos::int as pos, round(x, 6) + 0.0 as value from sv")
 def subword_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return embeddings.vector_table(_docs(spark, d), 16, "subword")
+    return _long(embeddings.vector_table(_docs(spark, d), 4, "subword"), "token")
 
 
-@query("document_vectors")
+@query("document_vectors", f"""with {_FREQ}, {_subwords(4)}, c as (select doc_id, t.tok, count(*) * coalesce(any_value(idf.idf), 1.0::double) as w from t left join idf on idf.tok = t.tok group by all),
+s as (select c.doc_id, sv.pos, sum(c.w * sv.x) / greatest(sum(c.w), 1e-6) as x from c join sv on sv.token = c.tok group by all),
+l as (select doc_id, pos, x / sqrt(sum(x * x) over (partition by doc_id)) as x from s)
+select d.doc_id, p.pos::int as pos, round(coalesce(l.x, 0), 6) + 0.0 as value from documents d cross join (select unnest(range(16)) as pos) p left join l on l.doc_id = d.doc_id and l.pos = p.pos
+""")
 def document_vectors(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     model = embeddings.WordVectors(16, {}, embeddings.FastTextConfig(3, 4, 16))
-    return embeddings.document_vectors(docs, model, features.fit_tfidf(docs, count=False))
+    return _long(embeddings.document_vectors(docs, model, features.fit_tfidf(docs, count=False)), "doc_id")

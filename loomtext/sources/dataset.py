@@ -61,5 +61,6 @@ def load_samples(spark: SparkSession, root: str, label: str, recursive: bool = T
 
 def union_samples(hot: DataFrame, cold: DataFrame) -> DataFrame:
     """Both tables, cold ids after hot ones."""
-    offset = (hot.agg(F.max("sample_id")).first()[0] or -1) + 1 if hot.take(1) else 0
+    last = hot.agg(F.max("sample_id")).first()[0]
+    offset = 0 if last is None else last + 1
     return hot.unionByName(cold.withColumn("sample_id", F.col("sample_id") + F.lit(offset)))

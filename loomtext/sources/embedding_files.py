@@ -10,6 +10,7 @@ import numpy as np
 
 from loomtext.errors import InvalidData, TooLarge, Unsupported
 from loomtext.functions.hashing import subword_hashes
+from loomtext.functions.text import split_words
 
 FASTTEXT_MAGIC, FASTTEXT_VERSION = 793712314, 12
 MAX_DIMS, MAX_WORDS, MAX_BUCKETS, MAX_MATRIX_BYTES, MAX_WORD_BYTES = 4096, 5_000_000, 20_000_000, 2 << 30, 4096
@@ -171,6 +172,7 @@ class Word2VecFile:
     def extract_all(self) -> CentroidVectors:
         return CentroidVectors(self.dims, dict(self.words)).validate()
 
-    def extract_for_vocab(self, tokens: list[str]) -> CentroidVectors:
-        """Only these words; the centroid is that of the kept ones."""
-        return CentroidVectors(self.dims, {t: self.words[t] for t in dict.fromkeys(tokens) if t in self.words}).validate()
+    def extract_for_vocab(self, texts: list[str]) -> CentroidVectors:
+        """Only the words of these texts, normalised and split as classifiers do; the centroid is that of the kept ones."""
+        words = dict.fromkeys(t for text in texts for t in split_words(text))
+        return CentroidVectors(self.dims, {t: self.words[t] for t in words if t in self.words}).validate()
