@@ -189,8 +189,8 @@ class AdvancedClassifier(Classifier):
                 for at in range(0, batch.num_rows, step):
                     piece = batch.slice(at, step)
                     s = model.scores(matrix_of(piece, dims))
-                    ids = np.repeat(np.asarray(piece.column(0)), len(labels))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(labels * piece.num_rows, pa.string()), pa.array(s.ravel())], names=["doc_id", "label", "score"])
+                    ids = piece.column(0).take(pa.array(np.repeat(np.arange(piece.num_rows), len(labels))))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(labels * piece.num_rows, pa.string()), pa.array(s.ravel())], names=["doc_id", "label", "score"])
 
         features = self.pipeline.transform(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "idxs", "vals")
         return features.mapInArrow(run, "doc_id bigint, label string, score double")

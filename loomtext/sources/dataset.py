@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,15 +49,24 @@ def load_samples(spark: SparkSession, root: str, label: str, recursive: bool = T
     """(sample_id, label, text, source_name) of the files below root; ids follow path order.
 
     The files are checked and listed on the driver (there are at most MAX_FILES), their texts are read
-    by the executors. Bytes that aren't UTF-8 are an error of the reading task.
+    by the executors, one by one, so the folder must be one that all of them share. Names may hold any character.
+    Bytes that aren't UTF-8 are an error of the reading task.
     """
     paths = collect_files(root, recursive, max_bytes)
     if not paths:
         return spark.createDataFrame([], SAMPLE)
+    name = canonical_label(label)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                text = read_text(row.column(1)[0].as_py(), max_bytes)
+                yield pa.RecordBatch.from_arrays([row.column(0), pa.array([name]), pa.array([text]), row.column(1)], names=["sample_id", "label", "text", "source_name"])
+
     ids = spark.createDataFrame(list(enumerate(paths)), "sample_id bigint, source_name string")
-    files = spark.read.format("binaryFile").load([Path(p).as_uri() for p in paths])
-    texts = files.select(F.url_decode(F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), r"\+", "%2B")).alias("source_name"), F.decode("content", "UTF-8").alias("text"))
-    return ids.join(texts, "source_name").select("sample_id", F.lit(canonical_label(label)).alias("label"), "text", "source_name").orderBy("sample_id")
+    parts = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
+    return ids.repartitionByRange(parts, "sample_id").sortWithinPartitions("sample_id").mapInArrow(read, SAMPLE)
 
 
 def union_samples(hot: DataFrame, cold: DataFrame) -> DataFrame:
