@@ -40,28 +40,44 @@ class TfIdf:
 
         Documents without a token of the vocabulary have no rows: their vectors are zero.
         """
-        hits = looked_up(token_counts(docs, decode), self.vocab.select("token", "idx", "idf"), self.size)
+        idx = [c for c in ("idx",) if c in self.vocab.columns]
+        hits = looked_up(token_counts(docs, decode), self.vocab.select("token", *idx, "idf"), self.size)
         raw = hits.withColumn("w", F.col("n").cast("double") if count_only else (1 + F.log(F.col("n").cast("double"))) * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-        return raw.select("doc_id", "token", "idx", F.when(norm > 1e-12, F.col("w") / norm).otherwise(F.col("w")).alias("value"))
+        return raw.select("doc_id", "token", *idx, F.when(norm > 1e-12, F.col("w") / norm).otherwise(F.col("w")).alias("value"))
 
 
 def fit_tfidf(docs: DataFrame, min_df: int = MIN_DF, max_df_ratio: float = MAX_DF_RATIO, decode: bool = False, count: bool = True) -> TfIdf:
     """Document frequencies over all documents, empty ones too; idf = ln((n+1)/(df+1)) + 1.
 
-    The number of documents joins as a one-row table, so the vocabulary stays one lazy plan. Indices are
-    dense and in token order; numbering sorts the vocabulary alone.
+    The number of documents joins as a one-row table. With count off the vocabulary is one lazy plan without
+    idx and size; else it is kept, sorted and numbered part by part.
     """
     seen = docs.select(F.explode(F.array_distinct(tokens(F.col("text"), decode))).alias("token")).where(~F.col("token").isin(STOPWORDS))
     total = docs.agg(F.greatest(F.count("*"), F.lit(1)).cast("double").alias("n_docs"))
     df = seen.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
     kept = df.where((F.col("df") >= min_df) & (F.col("df") / F.col("n_docs") <= max_df_ratio))
     vocab = kept.select("token", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    vocab = vocab.select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("idx"), "df", "idf")
     if not count:
         return TfIdf(vocab, None, min_df, max_df_ratio)
-    vocab = vocab.persist()
-    return TfIdf(vocab, vocab.count(), min_df, max_df_ratio)
+    return TfIdf(*numbered(vocab), min_df, max_df_ratio)
+
+
+def numbered(vocab: DataFrame) -> tuple[DataFrame, int]:
+    """vocab with idx, the dense place of each token in byte order, and its size.
+
+    Tokens are range-partitioned and sorted, kept, and counted by partition; a place is what lies in the partitions
+    before and before it in its own. Only the counts reach the driver.
+    """
+    ranged = vocab.repartitionByRange("token").sortWithinPartitions("token").persist()
+    counts = {r[0]: r[1] for r in ranged.groupBy(F.spark_partition_id()).count().collect()}
+    before, total = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(part, 0)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    offset = F.get(F.array(*map(F.lit, before or [0])), F.spark_partition_id())
+    return ranged.select("token", (inside + offset).cast("int").alias("idx"), *[c for c in vocab.columns if c != "token"]), total
 
 
 def to_vectors(weights: DataFrame, docs: DataFrame) -> DataFrame:

@@ -14,8 +14,10 @@ from loomtext.errors import InvalidConfig
 from loomtext.functions.scores import softmax
 
 METRICS = ("cosine", "euclidean", "manhattan", "minkowski")
-#: Numbers in a training matrix up to which it goes to every task as one array; beyond it the join is a shuffle.
-BROADCAST_VALUES = 32_000_000
+#: Numbers in a training matrix up to which it goes to every task as one array; a larger one is cut into blocks of as many, to which blocks of probes are joined.
+BROADCAST_VALUES = 4_000_000
+#: Probes in a block.
+PROBES = 1024
 
 
 def distance(a: Column, b: Column, metric: str, p: float = 2.0) -> Column:
@@ -71,8 +73,8 @@ class KnnModel:
         """(doc_id, train_id, label, dist, rank): the k nearest of each probe (doc_id, vector); ties by train_id.
 
         A training table under BROADCAST_VALUES numbers is one array in every task, and blocks of probes
-        are compared with it by matrix products. A larger one is compared block by block, each block
-        giving its k best, which one window then merges.
+        are compared with it by matrix products. A larger one is packed into blocks by hash, and blocks of
+        probes are shuffled to each of them; every pair of blocks gives its k best, which one window then merges.
         """
         spark = probes.sparkSession
         head = self.train.select(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
@@ -80,35 +82,72 @@ class KnnModel:
             return spark.createDataFrame([], "doc_id bigint, train_id bigint, label string, dist double, rank int")
         blocks = 1 if head.n * head.d <= BROADCAST_VALUES else -(-head.n * head.d // BROADCAST_VALUES)
         schema = "doc_id bigint, train_id bigint, label string, dist double"
-        best: DataFrame | None = None
-        for b in range(blocks):
-            part = self.train if blocks == 1 else self.train.where(F.pmod(F.xxhash64("train_id"), F.lit(blocks)) == b)
-            rows = part.select(F.col("train_id").cast("bigint"), F.col("label").cast("string"), F.col("vector").cast("array<double>")).toArrow()
+        train = self.train.select(F.col("train_id").cast("bigint"), F.col("label").cast("string"), F.col("vector").cast("array<double>"))
+        asked = probes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"))
+        if blocks == 1:
+            rows = train.toArrow()
             held = spark.sparkContext.broadcast((rows.column(0).to_numpy(), rows.column(1).to_pylist(), np.array(rows.column(2).to_pylist(), float)))
-            found = probes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(self._nearest(held), schema)
-            best = found if best is None else best.union(found)
+            best = asked.mapInArrow(self._nearest(held), schema)
+        else:
+            best = self._in_blocks(train, asked, blocks).mapInArrow(self._pairs(), schema)
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("dist", "train_id"))
         return best.withColumn("rank", rank).where(F.col("rank") <= self.k)
 
+    @staticmethod
+    def _in_blocks(train: DataFrame, probes: DataFrame, blocks: int) -> DataFrame:
+        """(p_ids, p_x, ids, labels, x): every block of probes beside every block of the training table."""
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
+            for block in np.unique(rows.column(0).to_numpy()) if rows is not None and rows.num_rows else ():
+                own = rows.filter(pa.array(rows.column(0).to_numpy() == block))
+                x = np.array(own.column(3).to_pylist(), "<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([own.column(1).to_numpy().astype("<i8").tobytes()]), pa.array([own.column(2).to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()])], names=["block", "ids", "labels", "x"])
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, PROBES):
+                    piece = batch.slice(at, PROBES)
+                    x = np.array(piece.column(1).to_pylist(), "<f8")
+                    yield pa.RecordBatch.from_arrays([pa.array([np.asarray(piece.column(0)).astype("<i8").tobytes()]), pa.array([x.tobytes()])], names=["p_ids", "p_x"])
+
+        packed = train.select(F.pmod(F.xxhash64("train_id"), F.lit(blocks)).alias("block"), "train_id", "label", "vector").repartition(blocks, "block").mapInArrow(whole, "block bigint, ids binary, labels array<string>, x binary")
+        asked = probes.where("doc_id IS NOT NULL").mapInArrow(some, "p_ids binary, p_x binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return asked.join(packed, "block").select("p_ids", "p_x", "ids", "labels", "x")
+
+    def _pairs(self):
+        nearest = KnnModel(None, self.k, self.metric, self.p)._best  # without the table, which can't travel
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    p_ids, ids = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i8") for c in (0, 2))
+                    p_x, x = (np.frombuffer(batch.column(c)[i].as_buffer(), "<f8") for c in (1, 4))
+                    yield nearest(pa.array(p_ids), p_x.reshape(len(p_ids), -1), ids, np.array(batch.column(3)[i].as_py(), object), x.reshape(len(ids), -1))
+
+        return run
+
+    def _best(self, probe_ids: pa.Array, probes: np.ndarray, ids: np.ndarray, names: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        n = min(self.k, len(ids))
+        d = np.round(distances(probes, x, self.metric, self.p), 12)
+        kth = np.partition(d, n - 1, axis=1)[:, n - 1]
+        r, c = np.nonzero(d <= kth[:, None])
+        order = np.lexsort((ids[c], d[r, c], r))
+        r, c = r[order], c[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(probes)))[r] < n
+        r, c = r[keep], c[keep]
+        return pa.RecordBatch.from_arrays([probe_ids.take(pa.array(r)), pa.array(ids[c]), pa.array(list(names[c]), pa.string()), pa.array(d[r, c])], names=["doc_id", "train_id", "label", "dist"])
+
     def _nearest(self, held):
-        k, metric, p = self.k, self.metric, self.p
-        schema = pa.schema([("doc_id", pa.int64()), ("train_id", pa.int64()), ("label", pa.string()), ("dist", pa.float64())])
+        model = KnnModel(None, self.k, self.metric, self.p)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, labels, x = held.value
             names = np.array(labels, object)
-            n = min(k, len(ids))
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     piece = batch.slice(at, 256)
-                    d = np.round(distances(np.array(piece.column(1).to_pylist(), float).reshape(piece.num_rows, -1), x, metric, p), 12)
-                    kth = np.partition(d, n - 1, axis=1)[:, n - 1]
-                    r, c = np.nonzero(d <= kth[:, None])
-                    order = np.lexsort((ids[c], d[r, c], r))
-                    r, c = r[order], c[order]
-                    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(piece.num_rows))[r] < n
-                    r, c = r[keep], c[keep]
-                    yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(r)), pa.array(ids[c]), pa.array(list(names[c]), pa.string()), pa.array(d[r, c])], schema=schema)
+                    yield model._best(piece.column(0), np.array(piece.column(1).to_pylist(), float).reshape(piece.num_rows, -1), ids, names, x)
 
         return run
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,19 +65,31 @@ def confusion_matrix(pairs: DataFrame, labels: list) -> DataFrame:
 def roc_auc(scored: DataFrame, ties: str = "rows", order: str | None = None) -> DataFrame:
     """auc of (score, is_positive): 0 for no rows, 0.5 for one class.
 
-    ties="grouped" is the usual measure: equal scores share a trapezoid. It sums over distinct scores, so
-    only those meet in one place. ties="rows" takes rows one by one by descending score and then by the
-    column `order`, which has to make their order definite; equal scores then count by that order.
+    ties="grouped" is the usual measure: equal scores share a trapezoid. ties="rows" takes rows one by one by
+    descending score and then by the column `order`, which has to make their order definite; equal scores
+    then count by that order. Either way rows are sorted in ranges, each of which gives one row of sums.
     """
     y = F.col("is_positive").cast("bigint")
     if ties == "grouped":
-        steps = scored.groupBy("score").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-        before = F.sum("pos").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
-        area = steps.select("pos", "neg", (F.col("neg") * (F.coalesce(before, F.lit(0)) + F.col("pos") / 2.0)).alias("area"))
+        steps, keys = scored.groupBy("score").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")), [F.desc("score")]
     else:
         keys = [F.desc("score"), *([F.col(order)] if order else [])]
-        seen = F.sum(y).over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-        area = scored.select(y.alias("pos"), (1 - y).alias("neg"), F.when(y == 0, seen).otherwise(0).cast("double").alias("area"))
+        steps = scored.select(y.alias("pos"), (1 - y).alias("neg"), "score", *([order] if order else []))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = n = 0
+        area = 0.0
+        for batch in batches:
+            pos, neg = (np.asarray(c.fill_null(0)) for c in batch.columns)
+            area += float((neg * (p + np.cumsum(pos) - pos / 2.0)).sum())  # a row is either, a group may be both
+            p, n = p + int(pos.sum()), n + int(neg.sum())
+        if p + n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([p]), pa.array([n]), pa.array([area])], names=["part", "pos", "neg", "area"])
+
+    ranged = steps.repartitionByRange(*keys).sortWithinPartitions(*keys).select("pos", "neg")
+    parts = ranged.mapInArrow(sums, "part bigint, pos bigint, neg bigint, area double")  # a row a partition
+    before = F.coalesce(F.sum("pos").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    area = parts.select("pos", "neg", (F.col("area") + F.col("neg") * before).alias("area"))
     s = area.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum("area").alias("a"))
     return s.select(F.when(F.col("p").isNull(), F.lit(0.0)).when((F.col("p") == 0) | (F.col("n") == 0), F.lit(0.5)).otherwise(F.col("a") / (F.col("p").cast("double") * F.col("n"))).alias("auc"))
 

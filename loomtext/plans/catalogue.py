@@ -119,7 +119,7 @@ def doc_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tfidf_fit", f"with {_FREQ} select tok as token, (row_number() over (order by tok collate \"C\") - 1)::int as idx, df::bigint as df, round(idf, 6) as idf from idf".replace(' collate "C"', ""))
 def tfidf_fit(spark: SparkSession, d: str) -> DataFrame:
-    return features.fit_tfidf(_docs(spark, d), count=False).vocab.select("token", "idx", "df", _round("idf").alias("idf"))
+    return features.fit_tfidf(_docs(spark, d)).vocab.select("token", "idx", "df", _round("idf").alias("idf"))
 
 
 def _features(kind: str) -> str:
