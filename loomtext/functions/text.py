@@ -25,7 +25,7 @@ def normalize_text(text: Column, decode: bool = False) -> Column:
 def tokens(text: Column, decode: bool = False) -> Column:
     """Runs of letters and digits of the text in lower case."""
     low = F.lower(decode_obfuscated_text(text) if decode else text)
-    return F.filter(F.split(F.regexp_replace(low, f"[^{WORD}]+", " "), " "), lambda t: t != "")
+    return F.filter(F.split(low, f"[^{WORD}]+"), lambda t: t != "")
 
 
 def split_words(text: str) -> list[str]:
@@ -36,7 +36,7 @@ def split_words(text: str) -> list[str]:
 def tokenize(text: Column) -> Column:
     """Runs of letters and digits, cut as well wherever upper case meets anything else; case stays."""
     cut = F.regexp_replace(text, r"(?<=\p{IsUppercase})(?=[^\p{IsUppercase}])|(?<=[^\p{IsUppercase}])(?=\p{IsUppercase})", " ")
-    return F.filter(F.split(F.regexp_replace(cut, f"[^{WORD}]+", " "), " "), lambda t: t != "")
+    return F.filter(F.split(cut, f"[^{WORD}]+"), lambda t: t != "")
 
 
 def _numeric(text: str, prefix: str, base: int) -> str:
