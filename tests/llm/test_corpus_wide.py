@@ -310,6 +310,27 @@ def test_packing_fills_sequences_with_every_token_once(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_equals_filling_documents_one_by_one(spark):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, rng.randrange(0, 400)) if i % 9 else None, "s") for i in range(80)] + [(3, "same", "s")] * 3
+    line = []
+    for i, t, _ in rows:
+        if t and CODER.count(t):
+            cell = packing.grid(packing.vectors([t]))
+            line.append((int(packing.hilbert(cell)[0]), i, CODER.count(t)))
+    want, seq, at = [], 0, 0
+    for key, i, n in sorted(line):
+        start = 0
+        while start < n:
+            take = min(n - start, 100 - at)
+            want.append((seq, at, i, start, start + take, key))
+            start, at = start + take, at + take
+            if at == 100:
+                seq, at = seq + 1, 0
+    got = packing.pack(docs(spark, rows), 100).select("sequence_id", "position", "doc_id", "token_start", "token_end", "key").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_hilbert_keys_are_a_walk_through_neighbouring_cells():
     depth = 3
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])

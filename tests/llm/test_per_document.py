@@ -138,6 +138,28 @@ def test_a_toxic_passage_counts_in_text_of_any_length():
         assert not any(toxicity._verdict(model, f"{rest} {t} {rest}")[4] for (_, t, _), (_, y) in zip(fresh, truth) if not y)
 
 
+def test_scores_equal_compressing_each_window_by_itself(spark):
+    import zstandard
+
+    rows, labels = _labelled(random.Random(5), 300)
+    model = toxicity.train([t for (_, t, _), (_, y) in zip(rows, labels) if y], [t for (_, t, _), (_, y) in zip(rows, labels) if not y])
+    got = {r.doc_id: r for r in toxicity.score_documents(docs(spark, rows[:80]), model).collect()}
+
+    def size(window, content):
+        how = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=2 * toxicity.WINDOW, dict_size=len(content), min_match=toxicity.PIECE, write_content_size=0, write_dict_id=0, write_checksum=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT)
+        dictionary.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how).compress(window))
+
+    for i, text, _ in rows[:80]:
+        gains = [size(w, model.ordinary) - size(w, model.toxic) for w in toxicity.windows(text)]
+        runs = [sum(max(g, 0) - model.drift for g in gains[a:b]) for a in range(len(gains)) for b in range(a + 1, len(gains) + 1)]
+        best = max([0.0, *runs]) - np.log(max(1, len(gains))) / model.rate
+        every = sum(max(g, 0) - model.drift for g in gains)
+        assert got[i].toxic_bytes == sum(g for g in gains if g > 0) and got[i].windows == len(gains)
+        assert got[i].is_toxic == (max(best, every) > model.threshold)
+
+
 def test_windows_without_gain_cost_a_run_only_a_logarithm():
     model = toxicity.Model(b"", b"", 3.0, (), drift=0.25, rate=2.0)
     for n in (10, 1000):
