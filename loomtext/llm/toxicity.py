@@ -39,7 +39,8 @@ PIECE = 6
 SURE, STRAY = 3.0, 0.001
 #: What each window of a run may gain before any counts: this many times the mean of ordinary windows.
 DRIFT = 8.0
-LEVEL = 1
+#: zstandard's level: the least that looks for a match at every byte, where faster ones skip ahead in text that they can't compress.
+LEVEL = 5
 #: zstandard looks for no match in the last eight bytes of its input, so that each window ends in a pad.
 _PAD = b" ........"
 _BLANK = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
