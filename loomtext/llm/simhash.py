@@ -227,17 +227,16 @@ def near_parts(prints: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame
         for batch in batches:
             rep, hi, lo = (np.asarray(c) for c in batch.columns)
             high, low = hi.view(np.uint64), lo.view(np.uint64)
-            gray = gray_rank(high, low)[0].view(np.int64)
             for t, order in enumerate(orders):
                 key = (_bucket(high, low, order) | _U(t << 44)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rep, hi, lo, gray)], names=["bucket", "id", "hi", "lo", "g_hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rep, hi, lo)], names=["bucket", "id", "hi", "lo"])
 
     def forest(table: pa.Table, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bucket, hi, lo = (table.column(c).to_numpy() for c in ("bucket", "hi", "lo"))
         return GrayIndex(bucket, hi.view(np.uint64), lo.view(np.uint64)).forest(distance, known=known)
 
-    placed = prints.select("rep", "hi", "lo").mapInArrow(spread, "bucket bigint, id bigint, hi bigint, lo bigint, g_hi bigint")
-    return connected(placed, ["g_hi", "lo"], forest)
+    placed = prints.select("rep", "hi", "lo").mapInArrow(spread, "bucket bigint, id bigint, hi bigint, lo bigint")
+    return connected(placed, ["hi", "lo"], forest)
 
 
 def _groups(docs: DataFrame, distance: int) -> DataFrame:
