@@ -29,6 +29,8 @@ from loomtext.sources.security import MAX_MODEL_BYTES, read_bytes
 
 VERSION = 1
 MAX_FEATURES = 1_000_000
+#: Rows of a vocabulary or a training table in one file.
+MAX_ROWS = 5_000_000
 _HEAD = struct.Struct("<4sI")
 _MAGIC = b"LTXM"
 _VOCAB, _COUNTS, _LABELS, _TRAIN = "token string, idx int, df bigint, idf double", "label string, token string, c bigint", "label string, docs bigint, prior double, total bigint", "train_id bigint, vector array<double>, label string"
@@ -43,6 +45,9 @@ def _numpy(d: dict) -> np.ndarray:
 
 
 def _rows(df: DataFrame) -> list[list]:
+    """The rows of a table that has to fit into one file; over MAX_ROWS are an error before any is fetched."""
+    if (n := df.count()) > MAX_ROWS:
+        raise TooLarge("save", f"{n} rows; save_tables writes naive Bayes models of any size")
     return [list(r) for r in df.collect()]
 
 
