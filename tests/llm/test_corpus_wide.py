@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -256,6 +259,32 @@ def test_top_products_equal_brute_force(spark, monkeypatch, block, part_bytes, e
         assert got[i] == want
 
 
+def test_top_products_of_doubles_in_parts_of_few_ranges(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("PART_BYTES", 2000), ("MOST_RANGES", 3), ("QUERY_BLOCKS", 2), ("GROUPS", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.standard_normal((200, 8)), 2, axis=0) * (1 + 1e-8 * np.arange(400)[:, None])  # floats would tie
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, r["rank"], r.other_id) for r in topk.top_products(vecs, every=3).collect()]
+    product = np.round(x @ x.T, topk.PLACES)
+    want = [sorted((j for j in range(400) if j != i), key=lambda j: (-product[i, j], j))[: topk.K] for i in range(0, 400, 3)]
+    assert sorted(got) == [(3 * n, at + 1, j) for n, others in enumerate(want) for at, j in enumerate(others)]
+
+
+LITTLE_DRIVER = """
+from pyspark.sql import SparkSession, functions as F
+from loomtext.llm import topk
+spark = SparkSession.builder.master("local[2]").config("spark.driver.maxResultSize", "3m").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", 4).getOrCreate()
+vecs = spark.range(0, 64_000, 1, 64).select(F.col("id").alias("vec_id"), F.expr("transform(sequence(1, 64), i -> float(sin(id * 64 + i)))").alias("embedding"))
+print("rows", topk.top_products(vecs, every=6400).count())
+"""
+
+
+def test_top_products_send_no_vectors_of_every_partition_to_the_driver():
+    said = subprocess.run([sys.executable, "-B", "-c", LITTLE_DRIVER], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=300)
+    assert "rows 100" in said.stdout, said.stderr[-800:]
+
+
 def test_lengths_leave_most_blocks_out():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((20_000, 16)) * rng.lognormal(0, 1.5, (20_000, 1))
