@@ -9,6 +9,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,8 +127,16 @@ class DensePipeline:
 def matrix_of(rows: pa.Table | pa.RecordBatch, dims: int, idxs: int = 1, vals: int = 2) -> np.ndarray:
     """A dense matrix of sparse rows."""
     x = np.zeros((rows.num_rows, dims))
-    for i, (at, v) in enumerate(zip(rows.column(idxs).to_pylist(), rows.column(vals).to_pylist())):
-        x[i, at] = v
+    there = np.ones(rows.num_rows, bool)
+    if rows.column(vals).null_count:  # a missing vector is one of NaNs
+        there = np.asarray(pc.is_valid(rows.column(vals)))
+        x[~there] = np.nan
+        rows = rows.filter(pa.array(there))
+    at, v = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows.column(idxs), rows.column(vals)))
+    lengths, given = (np.asarray(pc.list_value_length(c).fill_null(0)) for c in (at, v))
+    if (lengths != given).any():
+        raise ValueError("a row has more places than values, or fewer")
+    x[np.repeat(np.flatnonzero(there), lengths), np.asarray(at.flatten())] = np.asarray(v.flatten())
     return x
 
 

@@ -53,13 +53,17 @@ class Tree:
 def _distinct(values: np.ndarray, eps: float) -> np.ndarray:
     """Ascending values, each more than eps from the one kept before it."""
     values = np.unique(values)
-    if len(values) < 2 or (np.diff(values) >= eps).all():
+    near = np.diff(values) < eps
+    if len(values) < 2 or not near.any():
         return values
-    out = [values[0]]
-    for v in values[1:]:
-        if v - out[-1] >= eps:
-            out.append(v)
-    return np.array(out)
+    keep = np.r_[True, ~near]  # a value far from the one before it is far from every earlier one
+    last = -1.0
+    for i in np.flatnonzero(near) + 1:
+        if keep[i - 1]:
+            last = values[i - 1]
+        if values[i] - last >= eps:
+            keep[i] = True
+    return values[keep]
 
 
 # --- random forest ---
@@ -230,49 +234,69 @@ class BoostingConfig:
         return self
 
 
-def _best_split(x: np.ndarray, residual: np.ndarray, rows: np.ndarray) -> tuple[int, float, float, float] | None:
-    """(feature, threshold, left value, right value) of least squared loss with values shrunk by one row."""
-    best, least = None, math.inf
-    r = residual[rows]
-    for f in range(x.shape[1]):
-        column = x[rows, f]
-        values = _distinct(column, 1e-7)
-        if len(values) < 2:
-            continue
-        step = max(1, (len(values) - 1) // MAX_CANDIDATES)
-        cuts = ((values[1:] + values[:-1]) / 2)[::step]
-        order = np.argsort(column, kind="stable")
-        sums = np.r_[0, np.cumsum(r[order])]
-        n_left = np.searchsorted(column[order], cuts, "right")
-        n_right = len(rows) - n_left
-        left, right = sums[n_left], sums[-1] - sums[n_left]
-        lv, rv = left / (n_left + 1), right / (n_right + 1)
-        loss = (r * r).sum() - 2 * (lv * left + rv * right) + n_left * lv**2 + n_right * rv**2
-        loss[(n_left == 0) | (n_right == 0)] = math.inf
-        k = int(loss.argmin())
-        if loss[k] < least - 1e-12:
-            least, best = float(loss[k]), (f, float(cuts[k]), float(lv[k]), float(rv[k]))
-    return best
-
-
-def grow_residual_tree(x: np.ndarray, residual: np.ndarray, max_depth: int) -> Tree:
-    """Leaves on the last level have the shrunk mean, leaves that end early the plain one."""
+@dataclass
+class Cuts:
+    """Where features of some rows may be split: `feature` has those with two values or more, and for each of them `at` has the
+    thresholds, `n_left` the rows up to each, and `bins` by row the number of thresholds below its value, at most 2 * MAX_CANDIDATES."""
+
+    feature: list[int]
+    at: list[np.ndarray]
+    n_left: list[np.ndarray]
+    bins: list[np.ndarray]
+
+    @classmethod
+    def of(cls, x: np.ndarray, rows: np.ndarray | None = None) -> Cuts:
+        out = cls([], [], [], [])
+        for f in range(x.shape[1]):
+            column = np.ascontiguousarray(x[:, f] if rows is None else x[rows, f])
+            values = _distinct(column, 1e-7)
+            if len(values) < 2:
+                continue
+            step = max(1, (len(values) - 1) // MAX_CANDIDATES)
+            cuts = ((values[1:] + values[:-1]) / 2)[::step]
+            bins = np.searchsorted(cuts, column, "left").astype(np.uint8)
+            out.feature.append(f), out.at.append(cuts), out.bins.append(bins)
+            out.n_left.append(np.cumsum(np.bincount(bins, minlength=len(cuts) + 1))[:-1])
+        return out
+
+    def best(self, r: np.ndarray) -> tuple[int, float, float, float] | None:
+        """(feature, threshold, left value, right value) of least squared loss with values shrunk by one row, for the residuals of the rows."""
+        best, least = None, math.inf
+        square, whole = (r * r).sum(), r.sum()
+        for f, cuts, n_left, bins in zip(self.feature, self.at, self.n_left, self.bins):
+            left = np.cumsum(np.bincount(bins, r, len(cuts) + 1))[:-1]
+            right, n_right = whole - left, len(r) - n_left
+            lv, rv = left / (n_left + 1), right / (n_right + 1)
+            loss = square - 2 * (lv * left + rv * right) + n_left * lv**2 + n_right * rv**2
+            loss[(n_left == 0) | (n_right == 0)] = math.inf
+            k = int(loss.argmin())
+            if loss[k] < least - 1e-12:
+                least, best = float(loss[k]), (f, float(cuts[k]), float(lv[k]), float(rv[k]))
+        return best
+
+
+def grow_residual_tree(x: np.ndarray, residual: np.ndarray, max_depth: int, cuts: Cuts | None = None) -> Tree:
+    """Leaves on the last level have the shrunk mean, leaves that end early the plain one. cuts: those of all rows, which don't change from tree to tree."""
     tree = Tree()
 
-    def grow(rows: np.ndarray, depth: int) -> int:
-        mean = [float(residual[rows].mean()) if len(rows) else 0.0]
-        split = None if depth >= max_depth or len(rows) <= 2 else _best_split(x, residual, rows)
+    def grow(rows: np.ndarray | None, depth: int) -> int:
+        r = residual if rows is None else residual[rows]
+        mean = [float(r.mean()) if len(r) else 0.0]
+        split = None if depth >= max_depth or len(r) <= 2 else (cuts if rows is None and cuts else Cuts.of(x, rows)).best(r)
         if split is None:
             return tree.add(mean)
         f, t, lv, rv = split
         node = tree.add(mean, f, t)
+        if depth + 1 >= max_depth:
+            tree.left[node], tree.right[node] = tree.add([lv]), tree.add([rv])
+            return node
+        rows = np.arange(len(x)) if rows is None else rows
         goes = x[rows, f] <= t
-        last = depth + 1 >= max_depth
-        tree.left[node] = tree.add([lv]) if last else grow(rows[goes], depth + 1)
-        tree.right[node] = tree.add([rv]) if last else grow(rows[~goes], depth + 1)
+        tree.left[node] = grow(rows[goes], depth + 1)
+        tree.right[node] = grow(rows[~goes], depth + 1)
         return node
 
-    grow(np.arange(len(x)), 0)
+    grow(None, 0)
     return tree
 
 
@@ -290,14 +314,14 @@ class BoostingModel:
 
 def fit_boosting(x: np.ndarray, y: np.ndarray, classes: int, cfg: BoostingConfig) -> BoostingModel:
     cfg.validate()
-    base, trees = [], []
+    base, trees, cuts = [], [], Cuts.of(x)
     for cls in range(classes):
         target = (y == cls).astype(float)
         positive = max(target.sum(), 1.0)
         base.append(math.log(positive / max(len(y) - positive, 1.0)))
         logit, own = np.full(len(y), base[-1]), []
         for _ in range(cfg.n_estimators):
-            own.append(grow_residual_tree(x, target - sigmoid(logit), cfg.max_depth))
+            own.append(grow_residual_tree(x, target - sigmoid(logit), cfg.max_depth, cuts))
             logit += cfg.learning_rate * own[-1].predict(x)[:, 0]
         trees.append(own)
     return BoostingModel(base, cfg.learning_rate, trees)
