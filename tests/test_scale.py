@@ -1,11 +1,13 @@
 """Work that must grow no faster than its input, and results that stay the same while it does."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators import trees
+from loomtext.operators import knn, trees
 from loomtext.operators.models import matrix_of
 
 
@@ -42,3 +44,36 @@ def test_matrix_of_sparse_rows():
     want = np.array([[1, 0, 2], [np.nan] * 3, [0] * 3, [3, 4, 5]])
     assert np.array_equal(matrix_of(rows, 3), want, equal_nan=True)
     assert np.array_equal(matrix_of(rows.slice(1), 3), want[1:], equal_nan=True)
+
+
+@pytest.mark.parametrize(("metric", "p"), [("cosine", 2.0), ("euclidean", 2.0), ("manhattan", 2.0), ("minkowski", 3.0), ("minkowski", 1.5), ("minkowski", 0.5), ("minkowski", 6.0)])
+@pytest.mark.parametrize("size", [1.0, 1e-6, 1e17])
+def test_blocks_find_the_nearest_of_all_pairs(metric, p, size):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(5000, 6)), np.repeat(np.round(rng.normal(size=(20, 6)), 1), 9, axis=0), np.zeros((3, 6))]) * size
+    x[17, 2] = np.nan
+    ids = rng.permutation(len(x))
+    probes = np.concatenate([x[4990:5100:3], np.zeros((1, 6)), rng.normal(size=(9, 6)) * size])
+    r, c, d = knn.Block(ids, np.array(["a"] * len(x), object), x, 6, metric, p).nearest(probes)
+    every = np.round(knn.distances(probes, x, metric, p), knn.PLACES)
+    for i, row in enumerate(every):
+        want = np.lexsort((ids, row))[:6]
+        assert np.allclose(d[r == i], row[want], rtol=1e-12, atol=2e-12)
+        if metric != "cosine":  # its products are summed in another order
+            assert list(c[r == i]) == list(want)
+
+
+def test_searches_hold_a_tile_and_spread_over_tasks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60_000, 8))
+    block = knn.Block(np.arange(len(x)), np.array(["a"] * len(x), object), x, 6, "cosine", 2.0)
+    tracemalloc.start()
+    block.nearest(x[: knn.PROBES])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 << 20  # all pairs of the block are 245 MB a copy
+    train = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x[:400])], "train_id bigint, vector array<double>, label string")
+    probes = train.select(F.col("train_id").alias("doc_id"), "vector").repartition(12)
+    places = knn._in_blocks(train, probes, 2, 8, 8).groupBy("place").agg(F.count_if("asks").alias("asks"), F.sum(F.when(~F.col("asks"), F.size("labels"))).alias("rows")).collect()
+    assert len(places) == 16 and sum(r.asks > 0 for r in places) > 4  # two blocks are the work of more than two tasks
+    assert sum(r.rows for r in places) == 8 * 400
