@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 from loomtext.errors import InvalidConfig
 
 BATCH = 64
+#: Batches that are gathered at a time; rows that the SVM takes at a time.
+GATHER, STEP = 32, 64
+#: Rows times epochs times classes from which classes are trained by Spark tasks.
+PARALLEL = 5_000_000
 RFF_COMPONENTS, MAX_LANDMARKS = 256, 128
 
 
@@ -46,16 +53,30 @@ def fit_logistic_class(x: np.ndarray, y: np.ndarray, cls: int, cfg: LogisticConf
     for epoch in range(cfg.epochs):
         rate = cfg.learning_rate / (1 + 0.02 * epoch)
         order = rng.permutation(len(x)) if len(x) > BATCH else np.arange(len(x))
-        for at in range(0, len(x), BATCH):
-            rows = order[at : at + BATCH]
-            error = sigmoid(x[rows] @ w + b) - target[rows]
-            w = w * (1 - rate * cfg.reg) - rate * (error @ x[rows]) / len(rows)
-            b -= rate * error.mean()
+        for start in range(0, len(x), BATCH * GATHER):
+            some = order[start : start + BATCH * GATHER]
+            own, wanted = x[some], target[some]
+            for at in range(0, len(some), BATCH):
+                rows = own[at : at + BATCH]
+                z = rows @ w + b
+                error = 1 / (1 + np.exp(-np.minimum(np.maximum(z, -60), 60))) - wanted[at : at + BATCH]
+                w = w * (1 - rate * cfg.reg) - rate * (error @ rows) / len(rows)
+                b -= rate * (np.add.reduce(error) / len(rows))
     return w, b
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, classes: int, cfg: LogisticConfig) -> LogisticModel:
-    parts = [fit_logistic_class(x, y, c, cfg.validate()) for c in range(classes)]
+def _each_class(fit: Callable, x: np.ndarray, y: np.ndarray, classes: int, cfg: Any, spark: SparkSession | None) -> list[tuple[np.ndarray, float]]:
+    """fit for every class against the rest. They don't depend on each other: with a session and much to do, each is a Spark task."""
+    if spark is None or len(x) * cfg.epochs * classes < PARALLEL:
+        return [fit(x, y, c, cfg) for c in range(classes)]
+    held = spark.sparkContext.broadcast((x, y))
+    parts = spark.sparkContext.parallelize(range(classes), classes).map(lambda c: fit(*held.value, c, cfg)).collect()
+    held.destroy()
+    return parts
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, classes: int, cfg: LogisticConfig, spark: SparkSession | None = None) -> LogisticModel:
+    parts = _each_class(fit_logistic_class, x, y, classes, cfg.validate(), spark)
     return LogisticModel(np.array([w for w, _ in parts]), np.array([b for _, b in parts]))
 
 
@@ -116,18 +137,39 @@ class SvmModel:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, classes: int, cfg: SvmConfig) -> SvmModel:
-    """Stochastic subgradient descent of the hinge loss, row by row in input order, all classes in step."""
+def fit_svm(x: np.ndarray, y: np.ndarray, classes: int, cfg: SvmConfig, spark: SparkSession | None = None) -> SvmModel:
+    """Stochastic subgradient descent of the hinge loss, row by row in input order."""
     kernel = KernelMap.fit(x, cfg.validate())
-    z = kernel(x)
-    sign = np.where(y[:, None] == np.arange(classes)[None, :], 1.0, -1.0)
-    w, b = np.zeros((classes, z.shape[1])), np.zeros(classes)
+    parts = _each_class(fit_svm_class, kernel(x), y, classes, cfg, spark)
+    return SvmModel(kernel, np.array([w for w, _ in parts]), np.array([b for _, b in parts]))
+
+
+def fit_svm_class(z: np.ndarray, y: np.ndarray, cls: int, cfg: SvmConfig) -> tuple[np.ndarray, float]:
+    """One class against the rest.
+
+    Rows are taken STEP at a time: one product of them with each other says what each, if it is inside the margin, adds to
+    the margins of those after it, so that going from row to row is a sum of STEP numbers.
+    """
+    sign = np.where(y == cls, 1.0, -1.0)
+    w, b = np.zeros(z.shape[1]), 0.0
+    place = np.arange(STEP)
+    gap = place[None, :] - place[:, None] - 1  # between a row and a later one
     for epoch in range(cfg.epochs):
         rate = cfg.learning_rate / (1 + 0.05 * epoch)
-        for row, s in zip(z, sign):
-            inside = s * (w @ row + b) < 1
-            w *= 1 - rate / cfg.c
-            step = rate * s * inside
-            w += step[:, None] * row[None, :]
-            b += step
-    return SvmModel(kernel, w, b)
+        held = np.power(1 - rate / cfg.c, np.arange(STEP + 1))  # what is left of the weights after so many rows
+        fades = np.where(gap >= 0, held[np.maximum(gap, 0)], 0.0)
+        later = (gap >= 0).astype(float)
+        for at in range(0, len(z), STEP):
+            rows, s = z[at : at + STEP], sign[at : at + STEP]
+            n = len(rows)
+            adds = ((rows @ rows.T) * fades[:n, :n] + later[:n, :n]) * (rate * s)[:, None] * s
+            lacks = s * (held[:n] * (rows @ w) + b) - 1
+            step = np.zeros(n)
+            for i, add in enumerate(adds):
+                if lacks[i] < 0:
+                    np.add(lacks, add, out=lacks)
+                    step[i] = rate
+            step *= s
+            w = w * held[n] + (held[:n][::-1] * step) @ rows
+            b += np.add.reduce(step)
+    return w, b

@@ -182,9 +182,10 @@ class AdvancedClassifier(Classifier):
         labels = [hot_label, cold_label] if method == "IsolationForest" else sorted(set(names), key=str.encode)
         if method == "IsolationForest":
             return cls(method, pipe, labels, trees.fit_isolation(x, config, sum(l == hot_label for l in names), spark))
-        y = np.array([labels.index(l) for l in names])
-        fit = {"LogisticRegression": linear.fit_logistic, "Svm": linear.fit_svm, "GradientBoosting": trees.fit_boosting}
-        model = trees.fit_forest(x, y, len(labels), config, spark) if method == "RandomForest" else fit[method](x, y, len(labels), config)
+        code = {l: i for i, l in enumerate(labels)}
+        y = np.array([code[l] for l in names])
+        fit = {"LogisticRegression": linear.fit_logistic, "Svm": linear.fit_svm, "RandomForest": trees.fit_forest, "GradientBoosting": trees.fit_boosting}
+        model = fit[method](x, y, len(labels), config, *([] if method == "GradientBoosting" else [spark]))
         return cls(method, pipe, labels, model)
 
     def scores(self, docs: DataFrame) -> DataFrame:

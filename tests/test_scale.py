@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators import knn, trees
+from loomtext.operators import knn, linear, trees
 from loomtext.operators.models import matrix_of
 
 
@@ -77,3 +77,24 @@ def test_searches_hold_a_tile_and_spread_over_tasks(spark):
     places = knn._in_blocks(train, probes, 2, 8, 8).groupBy("place").agg(F.count_if("asks").alias("asks"), F.sum(F.when(~F.col("asks"), F.size("labels"))).alias("rows")).collect()
     assert len(places) == 16 and sum(r.asks > 0 for r in places) > 4  # two blocks are the work of more than two tasks
     assert sum(r.rows for r in places) == 8 * 400
+
+
+def test_classes_train_as_row_by_row(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(501, 4))
+    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 1)
+    cfg = linear.SvmConfig(epochs=5)
+    w, b = np.zeros((3, 4)), np.zeros(3)
+    for epoch in range(cfg.epochs):
+        rate = cfg.learning_rate / (1 + 0.05 * epoch)
+        for row, own in zip(x, y):
+            s = np.where(np.arange(3) == own, 1.0, -1.0)
+            step = rate * s * (s * (w @ row + b) < 1)
+            w = w * (1 - rate / cfg.c) + step[:, None] * row
+            b = b + step
+    alone = linear.fit_svm(x, y, 3, cfg)
+    assert np.allclose(alone.weights, w, atol=1e-12) and np.allclose(alone.bias, b, atol=1e-12)
+    monkeypatch.setattr(linear, "PARALLEL", 1)  # every class a task
+    for fit, c in ((linear.fit_svm, cfg), (linear.fit_logistic, linear.LogisticConfig(epochs=3))):
+        here, there = fit(x, y, 3, c), fit(x, y, 3, c, spark)
+        assert (here.weights == there.weights).all() and (here.bias == there.bias).all()
