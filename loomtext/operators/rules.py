@@ -212,7 +212,11 @@ class AlertMatcher:
         return F.size(self.alerts(text)) > 0
 
     def alert_titles(self, text: Column) -> Column:
-        return F.transform(self.alerts(text), lambda h: F.concat(h["title"], F.lit(": "), h["description"]))
+        return self.titles(self.alerts(text))
+
+    @staticmethod
+    def titles(alerts: Column) -> Column:
+        return F.transform(alerts, lambda h: F.concat(h["title"], F.lit(": "), h["description"]))
 
 
 def max_merge(a: DataFrame, b: DataFrame) -> DataFrame:

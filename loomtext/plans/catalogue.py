@@ -337,9 +337,7 @@ _BOOSTED = _nb_scores("count") + f", {_RULES_SQL}, b as (select d.doc_id, least(
 
 
 def _boosted(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    ranked = docs.join(sc.rank(_nb_model(spark, d).scores(docs), "doc_id"), "doc_id")
-    return rules.apply_rules(ranked, [_matcher(spark)], True).select("doc_id", "labels", "extra_hits")
+    return BayesClassifier(_nb_model(spark, d)).classify(_docs(spark, d), True, [_matcher(spark)])
 
 
 @query("rule_merge_scores", _BOOSTED + " select doc_id, label, round(s, 6) as score from m")
@@ -359,8 +357,9 @@ _TITLED = "title || ': ' || case rule_id " + " ".join(f"when {i} then '{r.descri
 
 @query("alert_titles", f"with {_RULES_SQL} select d.doc_id, count(hit.doc_id) > 0 as has_alerts, coalesce(string_agg({_TITLED}, '; ' order by rule_id), '') as titles from documents d left join hit on hit.doc_id = d.doc_id group by d.doc_id")
 def alert_titles(spark: SparkSession, d: str) -> DataFrame:
-    alerts = rules.AlertMatcher(RULES)
-    return _docs(spark, d).select("doc_id", alerts.has_alerts(F.col("text")).alias("has_alerts"), F.array_join(alerts.alert_titles(F.col("text")), "; ").alias("titles"))
+    matcher = rules.AlertMatcher(RULES)
+    found = _docs(spark, d).select("doc_id", matcher.alerts(F.col("text")).alias("a"))  # a projection of its own, so that each rule reads a text once
+    return found.select("doc_id", (F.size("a") > 0).alias("has_alerts"), F.array_join(matcher.titles(F.col("a")), "; ").alias("titles"))
 
 
 _ALERTS = "al as (select * from (values " + ", ".join(f"({i}, '{label}')" for i, r in enumerate(RULES) for label in r.target_labels) + ") as a(rule_id, label))"

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from loomtext.operators import knn, linear, trees
 from loomtext.operators.models import matrix_of
+from loomtext.plans import catalogue
+from loomtext.plans.catalogue import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_boosting_sorts_each_feature_once(monkeypatch):
@@ -98,3 +102,15 @@ def test_classes_train_as_row_by_row(spark, monkeypatch):
     for fit, c in ((linear.fit_svm, cfg), (linear.fit_logistic, linear.LogisticConfig(epochs=3))):
         here, there = fit(x, y, 3, c), fit(x, y, 3, c, spark)
         assert (here.weights == there.weights).all() and (here.bias == there.bias).all()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_read_a_text_once_where_it_lies(spark):
+    assert plan_of(QUERIES["alert_titles"](spark, SF)).count("RLIKE") == len(catalogue.RULES)
+    for name in ("rule_merge_scores", "report_records"):
+        plan = plan_of(QUERIES[name](spark, SF))
+        assert plan.count("RLIKE") == len(catalogue.RULES)
+        assert plan.index("Join") < plan.index("RLIKE")  # what is joined is hits, not texts
