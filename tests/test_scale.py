@@ -1,13 +1,16 @@
 """Work that must grow no faster than its input, and results that stay the same while it does."""
 
+import math
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators import knn, linear, trees
+from loomtext.functions.hashing import subword_vector, subword_vectors
+from loomtext.operators import embeddings, features, knn, linear, trees
 from loomtext.operators.models import matrix_of
 from loomtext.plans import catalogue
 from loomtext.plans.catalogue import QUERIES
@@ -114,3 +117,35 @@ def test_rules_read_a_text_once_where_it_lies(spark):
         plan = plan_of(QUERIES[name](spark, SF))
         assert plan.count("RLIKE") == len(catalogue.RULES)
         assert plan.index("Join") < plan.index("RLIKE")  # what is joined is hits, not texts
+
+
+@pytest.mark.parametrize("head", [500_000, 3])
+def test_features_and_vectors_of_repeated_missing_and_rare(spark, monkeypatch, head):
+    monkeypatch.setattr(features, "BROADCAST_TOKENS", head)
+    rows = [(1, "a cat sat the cat"), (1, "cat dog"), (2, None), (3, ""), (4, "dog bird ééé"), (5, "cat fish"), (None, "cat loose"), (None, "dog")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    together = {1: "a cat sat the cat cat dog", 4: "dog bird ééé", 5: "cat fish", None: "cat loose dog"}
+    lists = {i: t.split() for i, t in together.items()}
+    df = Counter(w for _, t in rows for w in set((t or "").split()) if w not in features.STOPWORDS)
+    idf = {w: math.log(9 / (n + 1)) + 1 for w, n in df.items()}
+    for count_only in (False, True):
+        model = features.fit_tfidf(docs, count=count_only)  # with idx, or without
+        got = {(r.doc_id, r.token): r.value for r in model.weights(docs, count_only=count_only).collect()}
+        want = {}
+        for i, words in lists.items():
+            w = {t: n if count_only else (1 + math.log(n)) * idf[t] for t, n in Counter(words).items() if t in idf}
+            want |= {(i, t): v / math.hypot(*w.values()) for t, v in w.items()}
+        assert got == pytest.approx(want)
+        assert "Window" not in plan_of(model.weights(docs))  # one row a document is shuffled, not one a token
+    vectors = embeddings.document_vectors(docs, embeddings.WordVectors(6, {}, embeddings.FastTextConfig(3, 4, 6)), features.fit_tfidf(docs, count=False)).collect()
+    assert len(vectors) == len(rows)
+    for r in vectors:
+        words = lists.get(r.doc_id, []) if r.doc_id is not None else []
+        total = sum((idf.get(w, 1.0) * subword_vector(w, 6, 3, 4) for w in words), np.zeros(6))
+        assert np.allclose(r.vector, total / max(np.linalg.norm(total), 1e-12))
+
+
+def test_subword_vectors_of_many_tokens():
+    words = ["", "a", "ab", "straße", "日本語", "😀x", "averyverylongtoken" * 9]
+    for low, high in ((3, 5), (1, 2), (6, 7)):
+        assert np.array_equal(subword_vectors(words, 8, low, high), [subword_vector(w, 8, low, high) for w in words])
