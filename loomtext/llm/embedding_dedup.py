@@ -21,6 +21,8 @@ COSINE = 0.95
 RECALL = 0.97
 #: Standard deviations on either side of an estimate; outside its bounds no product is computed.
 EPSILON = 3.5
+#: Rows of whole buckets whose estimates are made together; pairs that are multiplied at a time.
+TOGETHER, PRODUCTS = 16_384, 65_536
 
 
 def rotation(dims: int, seed: int = 907) -> np.ndarray:
@@ -40,11 +42,19 @@ class Pairs:
 
     def __init__(self, code: np.ndarray, other: np.ndarray, f: np.ndarray, g: np.ndarray, cosine: float, turn: np.ndarray):
         dims = len(turn)
-        self.x, self.y = ((np.unpackbits(b, axis=1)[:, :dims].astype(np.float32) * 2 - 1) / (math.sqrt(dims) * h[:, None]) for b, h in ((code, f), (other, g)))
+        self.x, self.y = (self._signs(b, dims, h) for b, h in ((code, f), (other, g)))
         self.y = self.y @ turn.T.astype(np.float32)  # to the basis of the first rotation
         self.u, self.v = ((1 - h**2) / h**2 for h in (f, g))
         self.sin2, self.dims, self.cosine = 1 - cosine**2, dims, cosine
 
+    @staticmethod
+    def _signs(bits: np.ndarray, dims: int, factor: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(bits, axis=1)[:, :dims].astype(np.float64)
+        x *= 2
+        x -= 1
+        x /= math.sqrt(dims) * factor[:, None]
+        return x
+
     def likely(self, rows: slice, others: slice) -> np.ndarray:
         """Which pairs of rows and others the bound leaves."""
         guess = (self.x[rows] @ self.y[others].T + self.y[rows] @ self.x[others].T) / 2
@@ -123,7 +133,10 @@ def connect(rotated: np.ndarray, bits: np.ndarray, factor: np.ndarray, cosine: f
         sure = later & (guess - bound >= cosine)
         open_ = later & (guess + bound >= cosine) & ~sure
         i, j = np.nonzero(open_)
-        exact = np.einsum("ij,ij->i", rotated[rows[i]], rotated[q[j]]) >= cosine - 1e-9
+        exact = np.zeros(len(i), bool)
+        for s in range(0, len(i), PRODUCTS):  # among copies nearly all pairs may be open
+            e = slice(s, s + PRODUCTS)
+            exact[e] = np.einsum("ij,ij->i", rotated[rows[i[e]]], rotated[q[j[e]]]) >= cosine - 1e-9
         seen["accepted"] += int(sure.sum())
         seen["exact"] += len(i)
         seen["rejected"] += int(later.sum() - sure.sum()) - len(i)
@@ -195,9 +208,16 @@ def near_duplicate_vectors(vecs: DataFrame, cosine: float = COSINE) -> DataFrame
     def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, opened, open_ in chunks(batches):
             bucket, ids = (rows.column(c).to_numpy() for c in (0, 1))
-            pairs = Pairs(*unpack(rows.column(2)), cosine, second)
             cuts = _cuts(bucket)
-            keep = np.concatenate([pairs.partnered(s, e) for s, e in zip(cuts[:-1], cuts[1:])])
+            keep = np.zeros(len(bucket), bool)
+            at = 0
+            while at < len(cuts) - 1:  # buckets of about TOGETHER rows
+                to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + TOGETHER, "right")) - 1)
+                first = cuts[at]
+                pairs = Pairs(*unpack(rows.column(2).slice(first, cuts[to] - first)), cosine, second)
+                for s, e in zip(cuts[at:to], cuts[at + 1 : to + 1]):
+                    keep[s:e] = pairs.partnered(s - first, e - first)
+                at = to
             keep |= (bucket == bucket[0]) & opened | (bucket == bucket[-1]) & open_  # others of the bucket may be elsewhere
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(bucket[keep])], names=["vec_id", "bucket"])
 
