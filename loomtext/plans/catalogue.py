@@ -403,7 +403,9 @@ def _ensemble(spark: SparkSession, d: str, strategy: str) -> DataFrame:
     positive = rules.RegexMatcher([r for r in RULES if r.score > 0])
     hit = docs.select("doc_id", positive.hits(F.col("text")).alias("h")).where(F.size("h") > 0)
     third = hit.select("doc_id", F.lit("BLOCK_LIST").alias("label"), (rules.rule_boost(F.col("h")) / 100).alias("score"))
-    members = [(_nb_model(spark, d).scores(docs), 2.0), (_nb_model(spark, d, "TfIdf").scores(docs), 1.0), (third, 1.0)]
+    weighted = _nb_model(spark, d, "TfIdf")  # its counts are those of the other
+    plain = bayes.BayesModel(weighted.labels, weighted.counts, weighted.n_tokens)
+    members = [(plain.scores(docs), 2.0), (weighted.scores(docs), 1.0), (third, 1.0)]
     return ensemble.merge(members, strategy).select("doc_id", "label", _round("score").alias("score"))
 
 
